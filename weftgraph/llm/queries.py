@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, mixing, sharding, simhash
+from . import chat_format, decontaminate, mixing, sharding, simhash, toxicity
 from .common import table
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", toxicity.held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n = F.size("item_ids")
+    return found.select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.array_max("shares").alias("containment"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -30,8 +44,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+    return {"op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat_format.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op5_decontamination": decontaminate.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
