@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, sharding, simhash, toxicity
+from . import chat_format, decontaminate, html_extract, mixing, sharding, simhash, toxicity
 from .common import table
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -44,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+    return {"op3_html_extraction": op3_html_extraction, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
