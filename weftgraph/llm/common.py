@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +14,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that they needn't have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_weftgraph_sent", False):
+        top = Path(__file__).parents[2]
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/weftgraph", "zip", top, "weftgraph"))
+        sc._weftgraph_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it; a local one only where none is set."""
+    ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))

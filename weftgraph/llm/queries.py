@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, mixing, sharding, simhash, toxicity
+from . import chat_format, decontaminate, html_extract, lm_score, mixing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.array_max("shares").alias("containment"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_html_extraction": op3_html_extraction, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+    return {"op3_html_extraction": op3_html_extraction, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_lm_score": op6_lm_score, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
