@@ -25,14 +25,9 @@ BASE = -4.0
 #: What a character may stand for, fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Costs in the channel: to write a character otherwise, to put a separator in, to repeat a character, to leave a sign as it is.
-SWAP, SEPARATE, REPEAT, SIGN = 1.0, 0.3, 0.5, 6.0
-_SIGNS = re.escape("".join(LEET))
-_NOISY = re.compile(
-    rf"(?<![^\W_])[^\W_](?:[\s.\-_*]{{1,3}}[^\W_])(?:[\s.\-_*]{{1,3}}[^\W_]){{2,}}(?![^\W_])"  # l e t t e r s set apart
-    rf"|[^\W\d_]*[{_SIGNS}][{_SIGNS}\w]*[^\W\d_](?:[{_SIGNS}\w]*\w)?|[^\W\d_]+[0134578@$]+(?![{_SIGNS}\w])"  # signs within a word
-    r"|[^\W_]*([^\W\d_])\1\1[^\W_]*"  # a letter three times
-    r"|[^\W\d_]{1,}(?:[*\-_][^\W\d_]{1,})+(?![^\W_])|[^\W\d_]+(?:\.[^\W\d_]+){2,}"  # separators within a word
-)
+SWAP, SEPARATE, REPEAT, SIGN = 1.0, 0.3, 0.5, 9.0
+_THRICE = re.compile(r"(\w)\1\1")
+_APART = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -88,18 +83,35 @@ def restore(noisy: str, model: CharacterModel) -> str:
     return min((cost + model.cost(last + " "), text) for (last, _), (cost, text) in best.items())[1]
 
 
-def plain(text: str | None, model: CharacterModel, known: dict[str, str]) -> str:
-    """Words of letters between blanks, noisy ones restored beside their own letters."""
+class Plain(dict):
+    """Tokens between blanks as words of letters, noisy ones restored beside their own letters; kept until there are a million."""
 
-    def undone(m: re.Match) -> str:
-        noisy = m[0]
-        if (word := known.get(noisy)) is None:
-            if len(known) > 200_000:
-                known.clear()
-            known[noisy] = word = f" {restore(noisy, model)} "
+    def __init__(self, model: CharacterModel):
+        self.model = model
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[token] = word = self.undone(token)
         return word
 
-    return f" {_OTHER.sub(' ', _NOISY.sub(undone, (text or '').lower()))} "
+    def undone(self, token: str) -> str:
+        end = len(token)
+        while end and not token[end - 1].isalnum():
+            end -= 1
+        begin = 0
+        while begin < end and not token[begin].isalnum() and token[begin] not in LEET:
+            begin += 1
+        core = token[begin:end]
+        if core.isalpha() and not _THRICE.search(core):
+            return core
+        own = _OTHER.sub(" ", core).strip()
+        return f"{restore(core, self.model)} {own}" if own else ""
+
+    def text(self, text: str | None) -> str:
+        """A blank, the words of the text between blanks, a blank. Letters set apart by blanks are brought together first."""
+        text = _APART.sub(lambda m: f"{''.join(m[0].split())} {m[0]}", (text or "").lower())
+        return f" {' '.join(map(self.__getitem__, text.split()))} "
 
 
 def grams(word: str) -> list[str]:
@@ -113,7 +125,7 @@ class Toxicity:
     weights: dict[str, float]
 
     def scorer(self):
-        automaton, known = ahocorasick.Automaton(), {}
+        automaton, plain = ahocorasick.Automaton(), Plain(self.characters)
         for g, w in self.weights.items():
             automaton.add_word(g, (len(g), w))
         if self.weights:
@@ -122,7 +134,7 @@ class Toxicity:
         def score(text: str | None) -> float:
             odds = BASE
             if text and self.weights:
-                line, words = plain(text, self.characters, known), {}
+                line, words = plain.text(text), {}
                 for end, (n, w) in automaton.iter(line):
                     start = end - n + 2
                     word = line[start : line.index(" ", start)]
