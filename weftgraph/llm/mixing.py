@@ -26,8 +26,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
     """(source, source_size) to (source, source_size, target): share of all words by weight, at most `most` times a source's words.
 
     Sources take the weights in code point order, null last. Resharing what exceeds a cap until nothing
-    does is filling water to one level: sources are capped in the order of cap over weight, and the level is that at
-    which the next source stays under its cap. The windows hold one row a source.
+    does is filling water to one level: sources are capped in the order of cap over weight, and the level is the first,
+    the highest, at which the next source stays under its cap. The windows hold one row a source.
     """
     place = F.pmod(F.row_number().over(W.Window.orderBy(F.asc_nulls_last("source"))) - 1, F.lit(len(weights))) + 1
     ranked = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place.cast("int")))
@@ -37,13 +37,13 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
     before, after = order.rowsBetween(W.Window.unboundedPreceding, -1), order.rowsBetween(0, W.Window.unboundedFollowing)
     wanted = F.lit(share) * F.sum("source_size").over(everything)
     level = (wanted - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    filled = ranked.withColumn("level", F.when(level <= F.col("full_at"), level)).withColumn("level", F.min("level").over(everything))
+    filled = ranked.withColumn("level", F.when(level <= F.col("full_at"), level)).withColumn("level", F.max("level").over(everything))
     free = F.col("level") * F.col("weight")
     return filled.select("source", "source_size", F.when(free < F.col("cap"), free).otherwise(F.col("cap")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, weight: Column | None = None) -> DataFrame:
-    """How many words of each document the mix takes: doc_id, size, source_size, target, taken.
+    """How many words of each document the mix takes: doc_id, size, source_size, target, taken, copies.
 
     Takes doc_id, text and source; other columns are ignored. A document is taken once for each complete epoch of its
     source, then once more if it falls into the fraction that is left: documents stand by the key -ln(u) / weight
@@ -71,8 +71,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     order = W.Window.partitionBy("source").orderBy("key", "doc_id", "size")
     prefix = F.col("before") + F.sum("size").over(order.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("size")
     edge = known.where("bin = end_bin").withColumn("more", 2 * prefix + F.col("size") <= 2 * F.col("left"))
-    taken = (F.col("epochs") + F.when(F.col("more"), 1).otherwise(0)) * F.col("size")
-    return sides.unionByName(edge).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    copies = (F.col("epochs") + F.when(F.col("more"), 1).otherwise(0)).cast("long")
+    return sides.unionByName(edge).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as the mix takes them, each as often as mix() says; rows that share a doc_id share its highest count."""
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("n")).where("n > 0")
+    times = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
+    found = docs.join(copies.select(F.col("doc_id").alias("_of"), F.col("n").alias("_copies")), F.col("doc_id").eqNullSafe(F.col("_of")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], times.alias("_time")).drop("_time")
 
 
 ORACLE_SQL = f"""
@@ -89,7 +97,7 @@ ranked as (
 levels as (
   select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) level from ranked),
-leveled as (select *, min(case when level <= cap / weight then level end) over () flat from levels),
+leveled as (select *, max(case when level <= cap / weight then level end) over () flat from levels),
 targets as (
   select source, source_size, case when flat * weight < cap then flat * weight else cap end target from leveled),
 planned as (
