@@ -155,3 +155,18 @@ def simhash_groups(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFram
     found = components(saved(linked(nodes.where("id is not null"), budget)))
     groups = saved(nodes.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")))
     return rows.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of docs, with all their columns, that simhash_groups() names as their group's smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows without doc_id can't be told apart and stay.
+    """
+    groups = saved(simhash_groups(docs, width, budget).select("doc_id", "component_id"))
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    twice = saved(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
