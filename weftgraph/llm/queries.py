@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, lm_score, mixing, sharding, simhash, toxicity
+from . import chat_format, decontaminate, embedding_dedup, html_extract, line_dedup, lm_score, mixing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -56,8 +60,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_html_extraction": op3_html_extraction, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_lm_score": op6_lm_score, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+    return {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op3_html_extraction": op3_html_extraction, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_lm_score": op6_lm_score, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op5_decontamination": decontaminate.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op2_embedding_dedup": embedding_dedup.ORACLE_SQL, "op5_decontamination": decontaminate.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
