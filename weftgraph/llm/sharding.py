@@ -101,15 +101,11 @@ def digest_of_rank(groups: DataFrame, size: int, rank: int) -> str:
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     """The rows of docs, with all their columns, and the shard and slot that shard_documents() gives them."""
-    placed = saved(shard_documents(docs, shards).select(F.col("doc_id").alias("_of"), "shard", "slot"))
-    # Rows that share a doc_id are numbered on both sides; nothing else needs a window over texts.
-    twice = saved(placed.groupBy("_of").count().where("count > 1").select(F.col("_of").alias("_twice")))
-    several = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    placed = saved(shard_documents(docs, shards))
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
-    docs = docs.select(*columns)
-    lone = docs.join(twice, several, "left_anti").join(placed.join(twice, F.col("_of").eqNullSafe(F.col("_twice")), "left_anti"), F.col("doc_id").eqNullSafe(F.col("_of")))
-    number = lambda key, order: F.row_number().over(W.Window.partitionBy(key).orderBy(order))
-    left = docs.join(twice, several, "left_semi").withColumn("_n", number("doc_id", F.crc32(F.encode(text_or_empty(), "UTF-8"))))
-    right = placed.join(twice, F.col("_of").eqNullSafe(F.col("_twice")), "left_semi").withColumn("_m", number("_of", F.col("slot")))
-    joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_n") == F.col("_m")))
-    return lone.select(*columns, "shard", "slot").unionByName(joined.select(*columns, "shard", "slot"))
+    # Rows that share a doc_id are numbered alike on both sides. The numbers are compared outside the key, so that texts move once.
+    key = F.xxhash64("doc_id")
+    number = lambda *order: F.row_number().over(W.Window.partitionBy("_key").orderBy("doc_id", *order))
+    left = docs.select(*columns, key.alias("_key")).withColumn("_left", number(F.crc32(F.encode(text_or_empty(), "UTF-8"))))
+    right = placed.withColumn("_key", key).withColumn("_right", number("text_crc32", "slot")).select("_key", "_right", "shard", "slot")
+    return left.join(right, (left["_key"] == right["_key"]) & (F.col("_left") - F.col("_right") == 0)).select(*columns, "shard", "slot")
