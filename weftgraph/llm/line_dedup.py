@@ -14,7 +14,7 @@ THRESHOLD = 2
 #: Shorter lines, in code points, link only to equal ones: a segment of theirs would say too little.
 SHORTEST = 12
 #: Letters whose counts, modulo 16, bound the distance of two lines from below.
-LETTERS = "etaoinshrdlucmgb"
+LETTERS = "etaoinshrdlu"
 #: Line ids by their last bits: at most so many rows are broadcast to find the texts of candidates.
 PREFIXES = 1 << 18
 
@@ -49,8 +49,8 @@ def _keys(line: Column, length: Column, threshold: int) -> tuple[list[Column], l
 
 
 def _bag(line: Column) -> Column:
-    """Counts of LETTERS, four bits each."""
-    counts = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c)))).cast("long").bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate(LETTERS)]
+    """Counts of LETTERS, each one byte long, four bits each."""
+    counts = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).cast("long").bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate(LETTERS)]
     return reduce(lambda a, b: a.bitwiseOR(b), counts)
 
 
@@ -115,8 +115,8 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     An id is the line's 64-bit hash: two of ten billion lines share one with a chance of a few in ten, and are
     then taken for one line. Equal lines are merged before segments are dealt, so that a frequent line is one row.
     """
-    each = docs.select("doc_id", F.explode(lines(F.col("text"))).alias("line"))
-    length = F.length("line")
+    each = docs.select("doc_id", F.explode(lines(F.col("text"))).alias("line")).select("doc_id", "line", F.length("line").alias("length"))
+    length = F.col("length")
     index, probes = _keys(F.col("line"), length, threshold)
     keyed = [F.when(length >= SHORTEST, k) for k in (*index, *probes)]
     names = [f"k{n}" for n in range(len(keyed))]
@@ -132,7 +132,7 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     # The texts of candidates: their ids' last bits thin out the lines before these are shuffled.
     wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     bits = lambda c: F.pmod(F.col(c), F.lit(PREFIXES))
-    thinned = each.where(F.length("line") >= SHORTEST).select("line", F.xxhash64("line").alias("id")).join(F.broadcast(wanted.select(bits("id").alias("bits")).distinct()), bits("id") == F.col("bits"), "left_semi")
+    thinned = each.where(length >= SHORTEST).select("line", F.xxhash64("line").alias("id")).join(F.broadcast(wanted.select(bits("id").alias("bits")).distinct()), bits("id") == F.col("bits"), "left_semi")
     texts = saved(thinned.distinct().join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     both = both.withColumn("most", F.least(F.length("x"), F.length("y")))
