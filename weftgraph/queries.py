@@ -369,17 +369,17 @@ for _op, _f in (("add", "v.value + c_acctbal"), ("sub", "v.value - c_acctbal"),
         right = table(spark, d, "customer").select(F.col("c_custkey").alias("seg"), F.col("c_acctbal").alias("value"))
         return seg.broadcast(values(spark, d), right, op).select("seg", "pos", F.round("value", 6).alias("value"))
 
-    query(f"seg_broadcast_{_op}", f"with {_V} select seg, pos, round({_f}, 6) as value from v join customer on c_custkey = seg")(_cast)
+    query(f"seg_broadcast_{_op}", f"with {_V} select seg, pos, round({_f}, 6) + 0.0 as value from v join customer on c_custkey = seg")(_cast)
 
 _SOFT = _V + ", m as (select *, exp(value - max(value) over (partition by seg)) x from v), p as (select seg, pos, value, x / sum(x) over (partition by seg) p from m)"
 
 
-@query("seg_softmax", f"with {_SOFT} select seg, pos, round(p, 6) as value from p")
+@query("seg_softmax", f"with {_SOFT} select seg, pos, round(p, 6) + 0.0 as value from p")
 def _(spark, d):
     return seg.softmax(values(spark, d)).select("seg", "pos", F.round("value", 6).alias("value"))
 
 
-@query("seg_softmax_grad", f"with {_SOFT} select seg, pos, round(p * (value - sum(p * value) over (partition by seg)), 6) as value from p")
+@query("seg_softmax_grad", f"with {_SOFT} select seg, pos, round(p * (value - sum(p * value) over (partition by seg)), 6) + 0.0 as value from p")
 def _(spark, d):
     data = values(spark, d)
     return seg.softmax_grad(seg.softmax(data), data).select("seg", "pos", F.round("value", 6).alias("value"))
@@ -397,7 +397,7 @@ for _name, _how, _weight, _f in (("seg_pool_sum", "sum", None, "sum(v)"), ("seg_
     def _pool(spark, d, how=_how, weight=_weight):
         return seg.pool(members(spark, d), vectors(spark, d), segments(spark, d), how, DIM, weight, 4).select("seg", F.col("i").cast("long"), "value")
 
-    query(_name, f"with {_POOL} select grid.seg, grid.i, round(coalesce({_f}, 0), 4) as value from grid left join x on grid.seg = x.seg and grid.i = x.i group by 1, 2")(_pool)
+    query(_name, f"with {_POOL} select grid.seg, grid.i, round(coalesce({_f}, 0), 4) + 0.0 as value from grid left join x on grid.seg = x.seg and grid.i = x.i group by 1, 2")(_pool)
 
 
 @query("seg_argmax", f"with {_POOL} select seg, i, arg_max(pos, (v, -pos)) pos from x group by 1, 2")
@@ -422,12 +422,12 @@ def _ended(spark, d):
     return ratings(spark, d).select("src", "dst"), left, right
 
 
-@query("edge_inner_product", f"with {_ENDS} select src, dst, round(list_dot_product(a, b), 4) as value from j")
+@query("edge_inner_product", f"with {_ENDS} select src, dst, round(list_dot_product(a, b), 4) + 0.0 as value from j")
 def _(spark, d):
     return seg.inner_product(*_ended(spark, d)).select("src", "dst", F.round("value", 4).alias("value"))
 
 
-@query("edge_sq_distance", f"with {_ENDS} select src, dst, round(list_dot_product(a, a) - 2 * list_dot_product(a, b) + list_dot_product(b, b), 4) as value from j")
+@query("edge_sq_distance", f"with {_ENDS} select src, dst, round(list_dot_product(a, a) - 2 * list_dot_product(a, b) + list_dot_product(b, b), 4) + 0.0 as value from j")
 def _(spark, d):
     return seg.squared_distance(*_ended(spark, d)).select("src", "dst", F.round("value", 4).alias("value"))
 
@@ -439,15 +439,15 @@ for _name, _avg, _weight, _w in (("seg_pool_grad", False, None, "1"), ("seg_pool
         out = seg.pool_grad(members(spark, d), user_vectors(spark, d), vectors(spark, d).select(F.col("id").alias("seg")), DIM, average, weight)
         return out.select(F.col("seg").alias("id"), F.col("i").cast("long"), F.round("value", 4).alias("value"))
 
-    query(_name, f"with {_GRAD}, x as (select id, {_w} w, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 i from y join u using (seg)), grid as (select vec_id id, unnest(range(64)) i from embeddings) select grid.id, grid.i, round(coalesce(sum(v * w), 0), 4) as value from grid left join x on grid.id = x.id and grid.i = x.i group by 1, 2")(_back)
+    query(_name, f"with {_GRAD}, x as (select id, {_w} w, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 i from y join u using (seg)), grid as (select vec_id id, unnest(range(64)) i from embeddings) select grid.id, grid.i, round(coalesce(sum(v * w), 0), 4) + 0.0 as value from grid left join x on grid.id = x.id and grid.i = x.i group by 1, 2")(_back)
 
 
-@query("seg_weighted_pool_grad_weights", f"with {_ENDS} select src seg, dst pos, round(list_dot_product(a, b), 4) as value from j")
+@query("seg_weighted_pool_grad_weights", f"with {_ENDS} select src seg, dst pos, round(list_dot_product(a, b), 4) + 0.0 as value from j")
 def _(spark, d):
     return seg.inner_product(*_ended(spark, d)).select(F.col("src").alias("seg"), F.col("dst").alias("pos"), F.round("value", 4).alias("value"))
 
 
-@query("seg_max_pool_grad", f"with {_POOL}, won as (select seg, i, arg_max(pos, (v, -pos)) pos from x group by 1, 2), gr as (select c_custkey seg, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 i from customer join embeddings on vec_id = c_custkey % (select count(*) from embeddings)) select pos % (select count(*) from embeddings) id, i, round(sum(v), 4) as value from won join gr using (seg, i) group by 1, 2")
+@query("seg_max_pool_grad", f"with {_POOL}, won as (select seg, i, arg_max(pos, (v, -pos)) pos from x group by 1, 2), gr as (select c_custkey seg, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 i from customer join embeddings on vec_id = c_custkey % (select count(*) from embeddings)) select pos % (select count(*) from embeddings) id, i, round(sum(v), 4) + 0.0 as value from won join gr using (seg, i) group by 1, 2")
 def _(spark, d):
     m = members(spark, d)
     out = seg.max_pool_grad(m, seg.max_pool_winner(m, vectors(spark, d), DIM), user_vectors(spark, d))
@@ -611,7 +611,7 @@ def _(spark, d):
     return g.with_support(g.remove_edges(rated, batch)).select("src", "dst", F.round("support", 6).alias("support"))
 
 
-@query("masked_embedding", "with n as (select count(*) n from embeddings) select c_custkey id, i, round(case when c_mktsegment = 'BUILDING' then embedding[(i + 1)::int] else 0 end::double, 6) as value from customer join embeddings on vec_id = c_custkey % (select n from n), range(64) a(i)")
+@query("masked_embedding", "with n as (select count(*) n from embeddings) select c_custkey id, i, round(case when c_mktsegment = 'BUILDING' then embedding[(i + 1)::int] else 0 end::double, 6) + 0.0 as value from customer join embeddings on vec_id = c_custkey % (select n from n), range(64) a(i)")
 def _(spark, d):
     known = splits.evaluation_map(customers(spark, d), builders(spark, d))
     held = user_vectors(spark, d).withColumnRenamed("seg", "mapped")
@@ -671,14 +671,14 @@ def token_vectors(spark: SparkSession, d: str) -> DataFrame:
     return tokens.select("token", s.draw(13, "token", below=n_vectors(spark, d)).alias("id")).join(vectors(spark, d), "id").select("token", "vector")
 
 
-@query("title_embedding", f"with {_TOK} select id, i, round(avg(v), 4) as value from tx group by 1, 2")
+@query("title_embedding", f"with {_TOK} select id, i, round(avg(v), 4) + 0.0 as value from tx group by 1, 2")
 def _(spark, d):
     texts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
     out = scalars.token_means(texts, token_vectors(spark, d), DIM)
     return out.select("id", F.posexplode("vector").alias("i", "value")).select("id", F.col("i").cast("long"), F.round("value", 4).alias("value"))
 
 
-@query("item_features", f"with {_TOK}, m as (select id, i, round(avg(v), 4) as value from tx group by 1, 2) select id, i, value from m union all select p_partkey, 64, round((1950 + p_size - 1950) / 100.0, 6)::double from part")
+@query("item_features", f"with {_TOK}, m as (select id, i, round(avg(v), 4) + 0.0 as value from tx group by 1, 2) select id, i, value from m union all select p_partkey, 64, round((1950 + p_size - 1950) / 100.0, 6)::double from part")
 def _(spark, d):
     texts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
     out = scalars.token_means(texts, token_vectors(spark, d), DIM).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
@@ -700,7 +700,7 @@ def _(spark, d):
     return table(spark, d, "orders").select(g.pair_key(F.col("o_custkey"), F.col("o_orderkey")).alias("key")).distinct()
 
 
-@query("normalize_features", "with x as (select vec_id id, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 i from embeddings) select id, i, round((v - avg(v) over (partition by i)) / case when stddev_pop(v) over (partition by i) = 0 then 1 else stddev_pop(v) over (partition by i) end, 4) as value from x")
+@query("normalize_features", "with x as (select vec_id id, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 i from embeddings) select id, i, round((v - avg(v) over (partition by i)) / case when stddev_pop(v) over (partition by i) = 0 then 1 else stddev_pop(v) over (partition by i) end, 4) + 0.0 as value from x")
 def _(spark, d):
     out = scalars.normalize_vectors(vectors(spark, d), DIM)
     return out.select("id", F.posexplode("vector").alias("i", "value")).select("id", F.col("i").cast("long"), F.round("value", 4).alias("value"))
@@ -714,7 +714,7 @@ def _(spark, d):
     return evaluate.rating_stats(ratings(spark, d)).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("standardize", f"with {R} select src, dst, round((value - avg(value) over ()) / stddev_pop(value) over (), 6) as value from r")
+@query("standardize", f"with {R} select src, dst, round((value - avg(value) over ()) / stddev_pop(value) over (), 6) + 0.0 as value from r")
 def _(spark, d):
     rated = ratings(spark, d)
     # One row of statistics is broadcast.
@@ -724,7 +724,7 @@ def _(spark, d):
 _PRED = _ENDS + ", p as (select src, dst, list_dot_product(a, b) prediction from j)"
 
 
-@query("predict_rating", f"with {_PRED} select src, dst, round(prediction, 4) prediction from p")
+@query("predict_rating", f"with {_PRED} select src, dst, round(prediction, 4) + 0.0 prediction from p")
 def _(spark, d):
     return network.predict(*_ended(spark, d)).select("src", "dst", F.round("value", 4).alias("prediction"))
 
@@ -753,7 +753,7 @@ def _(spark, d):
 
 @query("global_norm", "with x as (select unnest(embedding)::double v from embeddings), n as (select sqrt(sum(v * v)) n from x) select round(n, 6) norm, round(least(1.0, 10.0 / n), 6) factor from n")
 def _(spark, d):
-    flat = vectors(spark, d).select(F.explode("vector").cast("double").alias("value"))
+    flat = vectors(spark, d).select(F.explode("vector").alias("value")).select(F.col("value").cast("double"))
     return evaluate.global_norm(flat, 10.0).select(F.round("norm", 6).alias("norm"), F.round("factor", 6).alias("factor"))
 
 
@@ -788,12 +788,12 @@ def _long(df: DataFrame, decimals: int = 4) -> DataFrame:
     return df.select("id", F.posexplode("vector").alias("i", "value")).select("id", F.col("i").cast("long"), F.round("value", decimals).alias("value"))
 
 
-@query("gcn_aggregate", f"with {_GCN}, z as (select c_custkey id, o, coalesce(sum(v), 0) v from customer cross join range(4) a(o) left join hl on src = c_custkey and hl.o = a.o group by 1, 2) select id, o i, round(case when v > 0 then v else 0.1 * v end, 4) as value from z".replace("customer cross join range(4) a(o)", "(select c_custkey, b.o from customer cross join range(4) b(o)) a"))
+@query("gcn_aggregate", f"with {_GCN}, z as (select c_custkey id, o, coalesce(sum(v), 0) v from (select c_custkey, b.o from customer cross join range(4) b(o)) a left join (select src, o o2, v from hl) h on src = c_custkey and o2 = o group by 1, 2) select id, o i, round(case when v > 0 then v else 0.1 * v end, 4) + 0.0 as value from z")
 def _(spark, d):
     return _long(network.Aggregator([_weights(k) for k in range(5)], "sum").apply(_linked(spark, d), vectors(spark, d), customers(spark, d)))
 
 
-@query("gcn_aggregate_stack", f"with {_GCN}, z as (select c_custkey id, l * 4 + o i, coalesce(sum(v), 0) v from (select c_custkey, b.o o, c.l l from customer cross join range(4) b(o) cross join range(5) c(l)) a left join (select src, o o2, l l2, v from hl) h on src = c_custkey and o2 = o and l2 = l group by 1, 2) select id, i, round(case when v > 0 then v else 0.1 * v end, 4) as value from z")
+@query("gcn_aggregate_stack", f"with {_GCN}, z as (select c_custkey id, l * 4 + o i, coalesce(sum(v), 0) v from (select c_custkey, b.o o, c.l l from customer cross join range(4) b(o) cross join range(5) c(l)) a left join (select src, o o2, l l2, v from hl) h on src = c_custkey and o2 = o and l2 = l group by 1, 2) select id, i, round(case when v > 0 then v else 0.1 * v end, 4) + 0.0 as value from z")
 def _(spark, d):
     return _long(network.Aggregator([_weights(k) for k in range(5)], "stack").apply(_linked(spark, d), vectors(spark, d), customers(spark, d)))
 
@@ -803,7 +803,7 @@ za as (select id, o, case when v > 0 then v else 0.1 * v end v from z),
 ow as (select id, o, sum(v * {_W.format('7')}) + (o + 7) / 10.0::double v from (select c_custkey id, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 i from customer join embeddings on vec_id = c_custkey % (select count(*) from embeddings)) y, range(4) b(o) group by 1, 2),
 sm as (select id, o i, za.v + ow.v v from za join ow using (id, o)),
 ot as (select id, o, sum(v * (case when i = o then 1.0 else 0.5 end)) v from sm, range(4) b(o) group by 1, 2)
-select id, o i, round(case when v > 0 then v else 0.1 * v end, 4) as value from ot""")
+select id, o i, round(case when v > 0 then v else 0.1 * v end, 4) + 0.0 as value from ot""")
 def _(spark, d):
     out = network.Dense([[1.0 if i == o else 0.5 for i in range(UNITS)] for o in range(UNITS)])
     layer = network.Layer({"item": network.Aggregator([_weights(k) for k in range(5)])}, out, own=_weights(7))
