@@ -54,7 +54,7 @@ def activation(name: str, x: Column, slope: float = 0.1) -> Column:
 
 
 def standardize(x: Column, mean: Column, std: Column) -> Column:
-    return (x - mean) / std
+    return F.try_divide(x - mean, std)
 
 
 def clipped(x: Column, low: Column, high: Column) -> Column:

@@ -64,12 +64,12 @@ def choices(rows: DataFrame, k: int, size: Column, seed: int = 0, replace: bool
 def negatives(edges: DataFrame, targets: DataFrame, candidates: int, wanted: Column, seed: int = 0) -> DataFrame:
     """(id, other): for each target (id, degree) distinct non-neighbours among 0..candidates-1, ceil(wanted) of them or all there are.
 
-    Each target draws four numbers for each one it wants, and 16 more; repeats and neighbours go, the first drawn stay. A target
+    Each target draws two numbers for each one it wants, and 16 more; repeats and neighbours go, the first drawn stay. A target
     that is then short, whose row is nearly full, takes its whole complement in the order of a digest. The
     product of targets and candidates is formed for no others.
     """
     need = targets.withColumn("_want", F.least(F.ceil(wanted), F.lit(candidates) - F.col("degree")).cast("long"))
-    tries = need.where("_want > 0").select("id", F.explode(F.sequence(F.lit(0).cast("long"), 4 * F.col("_want") + 15)).alias("_try"))
+    tries = need.where("_want > 0").select("id", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col("_want") + 15)).alias("_try"))
     drawn = tries.select("id", "_try", draw(seed, "id", "_try", below=candidates).alias("other")).groupBy("id", "other").agg(F.min("_try").alias("_try"))
     known = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"))
     fresh = drawn.join(known, ["id", "other"], "left_anti")
@@ -87,13 +87,18 @@ def negatives_same_node(edges: DataFrame, rows: int, cols: int, seed: int = 0) -
     Eight draws an edge, the first that is no edge; an edge whose draws all fail takes draws over the whole graph.
     """
     coin = draw(f"{seed}/coin", "src", "dst", below=2)
-    tries = edges.select("src", "dst", coin.alias("_coin"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("_try"))
     col, row = draw(f"{seed}/col", "src", "dst", "_try", below=cols), draw(f"{seed}/row", "src", "dst", "_try", below=rows)
     free = F.col("_try") >= 8
-    drawn = tries.select("src", "dst", "_try", F.when(free | (F.col("_coin") == 1), row).otherwise(F.col("src")).alias("new_src"), F.when(free | (F.col("_coin") == 0), col).otherwise(F.col("dst")).alias("new_dst"))
-    fresh = drawn.join(edges.select(F.col("src").alias("new_src"), F.col("dst").alias("new_dst")), ["new_src", "new_dst"], "left_anti")
-    first = fresh.groupBy("src", "dst").agg(F.min(F.struct("_try", "new_src", "new_dst")).alias("x"))
-    return first.select("src", "dst", "x.new_src", "x.new_dst")
+
+    def first_of(left: DataFrame, low: int, high: int) -> DataFrame:
+        tries = left.select("src", "dst", coin.alias("_coin"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_try"))
+        drawn = tries.select("src", "dst", "_try", F.when(free | (F.col("_coin") == 1), row).otherwise(F.col("src")).alias("new_src"), F.when(free | (F.col("_coin") == 0), col).otherwise(F.col("dst")).alias("new_dst"))
+        fresh = drawn.join(edges.select(F.col("src").alias("new_src"), F.col("dst").alias("new_dst")), ["new_src", "new_dst"], "left_anti")
+        return fresh.groupBy("src", "dst").agg(F.min(F.struct("_try", "new_src", "new_dst")).alias("x")).select("src", "dst", "x.new_src", "x.new_dst")
+
+    # In a sparse graph one draw serves nearly every edge; the others are drawn only for those it fails.
+    once = first_of(edges, 0, 0)
+    return once.unionByName(first_of(edges.join(once, ["src", "dst"], "left_anti"), 1, 23))
 
 
 def negatives_all(edges: DataFrame, rows: int, cols: int, n: int, seed: int = 0) -> DataFrame:

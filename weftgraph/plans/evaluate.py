@@ -30,7 +30,7 @@ def losses(rows: DataFrame, weight: float) -> DataFrame:
 def global_norm(parameters: DataFrame, most: float | None = None) -> DataFrame:
     """One row: the L2 norm over (name, i, value), and the factor that clips it to `most`."""
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")))
-    return parameters.agg(norm.alias("norm"), (F.least(F.lit(1.0), F.lit(most) / norm) if most else F.lit(1.0)).alias("factor"))
+    return parameters.agg(norm.alias("norm"), (F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(most), norm), F.lit(1.0))) if most else F.lit(1.0)).alias("factor"))
 
 
 def parameter_inventory(parameters: DataFrame) -> DataFrame:

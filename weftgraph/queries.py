@@ -493,7 +493,7 @@ def _(spark, d):
 
 _NEG = f""", deg as (select src id, count(*) degree from r group by 1), np as (select count(*) n from part),
 need as (select id, degree, least(ceil(degree * 0.5), (select n from np) - degree)::bigint want from deg),
-tries as (select id, unnest(range(0, 4 * want + 16)) t from need where want > 0),
+tries as (select id, unnest(range(0, 2 * want + 16)) t from need where want > 0),
 drawn as (select id, {DRAW.format('5, id, t', '(select n from np)')} other, min(t) t from tries group by 1, 2),
 fresh as (select * from drawn where not exists (select 1 from r where src = id and dst = other)),
 short as (select id from need left join (select id, count(*) have from fresh group by 1) using (id) where coalesce(have, 0) < want),
