@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -61,13 +62,14 @@ def _coded(nodes: DataFrame, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            units = _unit(batch.column(3))
-            for tree in range(TREES):
-                planes = np.random.default_rng([seed, tree, units.shape[1]]).standard_normal((units.shape[1], BITS))
-                code = ((units @ planes > 0) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(1)
-                yield pa.record_batch([pa.array(np.full(len(code), tree, np.int32)), batch.column(1), pa.array(code), batch.column(0), batch.column(3)], names=["tree", "kind", "code", "id", "vector"])
+            lengths = pc.list_value_length(batch.column(3)).to_numpy()
+            for dim in np.unique(lengths).tolist():
+                same = batch.filter(pa.array(lengths == dim))
+                units = _unit(same.column(3))
+                for tree in range(TREES):
+                    planes = np.random.default_rng([seed, tree, dim]).standard_normal((dim, BITS))
+                    code = ((units @ planes > 0) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(1)
+                    yield pa.record_batch([pa.array(np.full(len(code), tree, np.int32)), same.column(1), pa.array(code), same.column(0), same.column(3)], names=["tree", "kind", "code", "id", "vector"])
 
     return nodes.select("id", "kind", "n", "vector").mapInArrow(run, "tree int, kind string, code long, id long, vector array<float>")
 
