@@ -14,8 +14,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest doc_id."""
-    return simhash.one_of_each_group(docs)
+    """One document of each group stays, that with the smallest doc_id; groups are those of SimHash at two bits and of near copies."""
+    return simhash.one_of_each_group(docs, near=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

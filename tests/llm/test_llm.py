@@ -368,5 +368,33 @@ def test_pipeline_against_its_stages_by_hand(spark):
 
 def c_near(ids, texts):
     prints = [slow_fingerprint(texts[i]["text"], 3) for i in ids]
-    roots = smallest_reached(len(ids), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
-    return sorted({ids[r] for r in roots})
+    pieces = [simhash.long_fingerprint(simhash.shingle_hashes(texts[i]["text"], 2), 4) for i in ids]
+    signs = [simhash.long_fingerprint(simhash.shingle_hashes(texts[i]["text"], 5), 4) for i in ids]
+
+    def near(a, b):
+        if (prints[a] ^ prints[b]).bit_count() <= 2:
+            return True
+        parts = np.bitwise_count((pieces[a] ^ pieces[b]).view(np.uint32))
+        return parts.min() <= simhash.PIECE_BUDGET and np.bitwise_count(signs[a] ^ signs[b]).sum() <= simhash.APART
+
+    return sorted({ids[r] for r in smallest_reached(len(ids), near)})
+
+
+def test_near_copies(spark):
+    rng = random.Random(12)
+    made = list(ODD)
+    for k in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 400))]
+        made.append((1000 + 10 * k, " ".join(base), "s"))
+        for c in range(1, 4):  # a word in 60 differs: five-word shingles stay similar to 0.85 or more
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), len(copy) // 60):
+                copy[at] = f"w{rng.randrange(5000)}"
+            made.append((1000 + 10 * k + c, " ".join(copy), "s"))
+    found = dict(rows(common.components(simhash.near_copies(documents(spark, made)))))
+    copies = [i for i, _, _ in made if i >= 1000]
+    assert sum(found.get(i) == i // 10 * 10 for i in copies) >= 0.97 * len(copies)
+    assert {i for i in found if i < 1000} == {6, 7}
+    kept = {r["doc_id"] for r in simhash.one_of_each_group(documents(spark, made), near=True).collect()}
+    assert {i for i in copies if i % 10 == 0} <= kept and len(kept & set(copies)) <= 43
+    assert simhash.near_copies(documents(spark, [])).count() == 0
