@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: What a template may use; inside texts and roles these strings get a backslash after their first character.
 _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|\||</?SYS>>)"
 _CLOSING = r"\|(\\*)>"
@@ -74,6 +76,7 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER, loss_role
     roles and texts count as empty; rows without conv_id form one conversation; other columns are ignored; an empty
     table gives no rows. The tokenizer's file is read by the driver and sent along; its size is fixed.
     """
+    ship(turns.sparkSession)
     with open(tokenizer, encoding="utf-8") as file:
         model = turns.sparkSession.sparkContext.broadcast(file.read())
 
@@ -124,6 +127,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+    ship(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 WIDTH = 5
 THRESHOLD = 0.8
 #: Bytes of item texts that one pass over the documents compares; more items take more passes.
@@ -104,6 +106,7 @@ class Index:
 
 def _indexes(benchmark: DataFrame) -> list:
     """Broadcast indexes of the benchmark, each over at most about BLOCK_BYTES of text."""
+    ship(benchmark.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))

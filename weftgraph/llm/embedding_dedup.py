@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import components, saved
+from .common import components, saved, ship
 
 THRESHOLD = 0.98
 #: Neighbours in a list, trees of random hyperplanes for the first lists, sign bits of a tree's code, rows of a window.
@@ -190,6 +190,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
     table gives no rows. Equal vectors are merged first. The rest is a neighbour graph refined by neighbours of neighbours
     until no more links appear; its links' components are completed, and if the audited recall falls short, more trees are grown.
     """
+    ship(vectors.sparkSession)
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select("vec_id", "embedding", "label").withColumn("valid", _valid())
     kind = F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string"))

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import ship
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -270,6 +272,7 @@ def extract_pages(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     gives an empty text; broken markup is read as far as it goes; repeated rows are done each; an empty table gives no rows.
     The model is fitted by the driver on generated labelled pages, whose number is a parameter, and sent along.
     """
+    ship(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

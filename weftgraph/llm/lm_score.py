@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, ship
 from .toxicity import held_out
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -225,6 +225,7 @@ def score_documents(docs: DataFrame, held: Column | None = None, path: str = VOC
     counted each; without training rows the vocabulary's own scores hold; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     held = held_out(7, 2) if held is None else held
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces, prior, octets = vocabulary(path)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, saved, ship
 
 SEED = 42
 #: Bits of each value of a byte, lowest first.
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             found = np.fromiter((fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
@@ -158,6 +159,7 @@ def _joined(rows: DataFrame, budget: int, bits: int, apart: int | None = None) -
             moved = root != np.arange(len(mine))
             yield pa.record_batch([pa.array(ids[mine[moved]]), pa.array(ids[mine[root[moved]]])], names=["a", "b"])
 
+    ship(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ["id", "shared", "deal", "value", *(["signature"] if apart is not None else [])]
     return rows.repartition(parts, "under").select(*columns).mapInArrow(run, "a long, b long")
@@ -201,6 +203,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
                 signatures.append(long_fingerprint(five, SIGNATURE // 64).tobytes() if len(five) else None)
             yield pa.record_batch([batch.column(0), pa.array(pieces, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "pieces", "signature"])
 
+    ship(docs.sparkSession)
     rows = saved(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, pieces binary, signature binary").where("signature is not null"))
     nodes = saved(rows.groupBy("pieces", "signature").agg(F.min("doc_id").alias("id")))
     own = rows.join(nodes, ["pieces", "signature"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))

@@ -12,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, ship
 
 #: Labelled documents that the model is fitted on at most, dealt by hash; everything else covers all rows.
 SAMPLE = 8000
 #: Grams that the model keeps at most, the strongest first.
 GRAMS = 5000
-#: A gram counts if its likelihood ratio against chance is so large, and its log odds at least LEAST; one word adds MOST at most.
-SURE, LEAST, MOST = 25.0, 2.5, 6.0
+#: A gram counts if its likelihood ratio statistic against chance is SURE over 2 ln of the number of grams that were tried, and its
+#: log odds at least LEAST; one word adds MOST at most.
+SURE, LEAST, MOST = 3.0, 2.5, 6.0
 #: The log odds of a text in which nothing is found.
 BASE = -4.0
 #: What a character may stand for, fixed values.
@@ -150,19 +151,43 @@ def held_out(parts: int, part: int):
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % parts == part
 
 
+def _firsts_of_families(rows: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The smallest doc_id of each label and family of a bounded sample (toxic, doc_id, marks); sharing a mark makes a family."""
+    root: dict[tuple, tuple] = {}
+
+    def top(x: tuple) -> tuple:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for toxic, _, marks in rows:
+        own = [(toxic, k, m) for k, m in enumerate(marks)]
+        for x in own[1:]:
+            root[top(x)] = top(own[0])
+    least: dict[tuple, int] = {}
+    for toxic, i, marks in rows:
+        key = top((toxic, 0, marks[0]))
+        least[key] = min(i, least.get(key, i))
+    return list(least.values())
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     """Learn characters and grams from labelled rows whose crc32 mod 3 isn't 1.
 
-    A bounded sample by hash, of which near copies (equal in the least and the greatest hash of their sentences) count once, so that a copied
+    A bounded sample by hash, of which near copies (that share one of four least hashes of sentences) count once, so that a copied
     text can't make its rare words look toxic. Repeated labels count as their highest.
     """
+    ship(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known.withColumnRenamed("doc_id", "of")), F.col("doc_id") == F.col("of"))
-    parts = F.transform(F.split(F.lower("text"), r"[.\n]"), lambda w: F.xxhash64(w))
-    family = F.struct(F.array_min(parts).alias("least"), F.array_max(parts).alias("most"))
-    rows = rows.select("toxic", "doc_id", "text", family.alias("family")).groupBy("toxic", "family").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("toxic", "x.text")
+    parts = F.split(F.lower("text"), r"[.\n]")
+    marks = F.array(*[F.array_min(F.transform(parts, lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(4)])  # noqa: B023
+    chosen = saved(rows.select("toxic", "doc_id", "text", marks.alias("marks")))
+    first = _firsts_of_families([tuple(r) for r in chosen.select("toxic", "doc_id", "marks").collect()])
+    ids = docs.sparkSession.createDataFrame([(i,) for i in first], chosen.select("doc_id").schema)
+    rows = chosen.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
@@ -185,23 +210,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     letters = {r["gram"]: r["n1"] for r in counts.where("kind = 1").orderBy(F.desc("n1"), "gram").limit(200_000).collect()}
     total = counts.where("kind = 0 and gram = ''").first()
     weights: dict[str, float] = {}
+    sure = SURE + 2 * math.log(max(1, counts.where("kind = 0").count()))
     if total and total["n1"] and total["n0"]:
         a1, a0 = float(total["n1"]), float(total["n0"])
         n1, n0 = F.col("n1"), F.col("n0")
         odds = F.log((n1 + 0.5) / (a1 + 1)) - F.log((n0 + 0.5) / (a0 + 1))
         part = lambda n, a: F.when(n > 0, n * F.log(n * (a1 + a0) / ((n1 + n0) * a))).otherwise(0.0)
-        strong = counts.where("kind = 0 and gram <> '' and n1 > 1").select("gram", odds.alias("odds"), (2 * (part(n1, a1) + part(n0, a0))).alias("sure"))
-        strong = strong.where((F.col("odds") >= LEAST) & (F.col("sure") >= SURE)).orderBy(F.desc("sure"), "gram").limit(GRAMS)
-        weights = {r["gram"]: min(MOST, r["odds"]) for r in strong.collect()}
+        strong = counts.where("kind = 0 and gram <> '' and n1 > 1").select("gram", "n1", "n0", odds.alias("odds"), (2 * (part(n1, a1) + part(n0, a0))).alias("sure"))
+        strong = strong.where((F.col("odds") >= LEAST) & (F.col("sure") >= sure)).orderBy(F.desc("sure"), "gram").limit(GRAMS)
+        weights = _own_evidence({r["gram"]: (r["n1"], r["n0"], min(MOST, r["odds"])) for r in strong.collect()}, a1, a0)
     return Toxicity(CharacterModel(letters), weights)
 
 
+def _own_evidence(strong: dict[str, tuple[int, int, float]], a1: float, a0: float) -> dict[str, float]:
+    """Weights of the grams that stand on their own: a beginning goes if its words that no longer kept gram covers are seen in
+    clean documents and speak against it; where nothing speaks against it, it stays for words not seen yet."""
+    covered: dict[str, list[int]] = {g: [0, 0] for g in strong}
+    kept = {}
+    for g in sorted(strong, key=lambda g: (-len(g), g)):
+        n1, n0, weight = strong[g]
+        r1, r0 = n1 - covered[g][0], n0 - covered[g][1]
+        if r0 <= 0 or math.log((r1 + 0.5) / (a1 + 1)) - math.log((r0 + 0.5) / (a0 + 1)) >= LEAST:
+            kept[g] = weight
+            covered[g] = [n1, n0]
+        above = next((g[:k] for k in range(len(g) - 1, 0, -1) if g[:k] in strong), None)
+        if above:
+            covered[above][0] += covered[g][0]
+            covered[above][1] += covered[g][1]
+    return kept
+
+
 def score_documents(docs: DataFrame, model: Toxicity) -> DataFrame:
     """doc_id and score, for every row of docs over its whole text; null and empty texts get the base score.
 
     Reads doc_id and text alone: labels, lang and source can't enter, and clashing names don't matter. Repeated rows are
     scored each; an empty table gives no rows; without labels of both kinds nothing is found anywhere.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +259,7 @@ def score_documents(docs: DataFrame, model: Toxicity) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Toxicity, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold."""
+    ship(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
