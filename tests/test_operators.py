@@ -273,3 +273,10 @@ def test_live_degrees(spark, tmp_path, edges):
     running.processAllAvailable()
     running.stop()
     assert {r["id"]: r["degree"] for r in spark.table("live").collect()} == {10: 3, 20: 2, 40: 1}
+
+
+def test_segment_ids_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(seg, "BLOCK", 3)
+    starts = spark.createDataFrame([(0, 0), (1, 2), (2, 2), (3, 9)], "seg long, start long")
+    found = seg.segment_ids(starts, spark.range(11).withColumnRenamed("id", "pos"))
+    assert [r["seg"] for r in found.orderBy("pos").collect()] == [0, 0, 2, 2, 2, 2, 2, 2, 2, 3, 3]

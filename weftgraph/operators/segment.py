@@ -46,10 +46,21 @@ def broadcast_mul_grad(data: DataFrame, grad: DataFrame, segments: DataFrame) ->
     return reduce(both.select("seg", (F.col("value") * F.col("_g")).alias("value")), segments, "sum")
 
 
+#: Positions of one block of a running maximum.
+BLOCK = 1 << 16
+
+
 def segment_ids(starts: DataFrame, positions: DataFrame) -> DataFrame:
-    """(pos) with the segment it lies in, given (seg, start): a running maximum over positions, as one scan."""
-    marked = positions.join(starts.groupBy(F.col("start").alias("pos")).agg(F.max("seg").alias("_seg")), "pos", "left")
-    return marked.select("pos", F.max("_seg").over(W.Window.orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0)).alias("seg"))
+    """(pos) with the segment it lies in, given (seg, start): a running maximum over positions.
+
+    Blocks of BLOCK positions are scanned side by side; what the blocks before hold is carried in as their maximum, by a window over one
+    row a block.
+    """
+    marked = positions.join(starts.groupBy(F.col("start").alias("pos")).agg(F.max("seg").alias("_seg")), "pos", "left").withColumn("_block", F.floor(F.col("pos") / BLOCK))
+    before = W.Window.orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1)
+    carried = marked.groupBy("_block").agg(F.max("_seg").alias("_most")).select("_block", F.max("_most").over(before).alias("_carried"))
+    within = F.max("_seg").over(W.Window.partitionBy("_block").orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0))
+    return marked.withColumn("_own", within).join(carried, "_block").select("pos", F.greatest("_own", "_carried").alias("seg"))
 
 
 def pool(edges: DataFrame, vectors: DataFrame, segments: DataFrame, how: str, dim: int, weight: str | None = None, decimals: int | None = None) -> DataFrame:

@@ -63,8 +63,11 @@ def batches(pairs: DataFrame, size: int, sequential: bool = True, seed: int = 0,
     if size < 0:
         return pairs.withColumn("batch", F.lit(0).cast("long"))
     if sequential:
-        place = F.row_number().over(W.Window.orderBy("src", "dst"))
-        return pairs.withColumn("batch", F.floor((place - 1) / size))
+        # First places come from a window over nodes; pairs are ranked within their src.
+        counts = pairs.groupBy("src").agg(F.count("*").alias("_n"))
+        first = counts.select("src", F.coalesce(F.sum("_n").over(W.Window.orderBy("src").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+        place = F.col("_first") + F.row_number().over(W.Window.partitionBy("src").orderBy("dst"))
+        return pairs.join(first, "src").withColumn("batch", F.floor((place - 1) / size)).drop("_first")
     return ranked(pairs, f"{seed}/{epoch}", "src", "dst").withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("rank")
 
 

@@ -594,6 +594,11 @@ def _(spark, d):
     return splits.batches(ratings(spark, d), 1000, False, 11).select("src", "dst", "batch")
 
 
+@query("rating_batches_sequential", f"with {R}, k as (select src, dst, row_number() over (order by src, dst) k from r) select src, dst, floor((k - 1) / 1000.0)::bigint batch from k")
+def _(spark, d):
+    return splits.batches(ratings(spark, d), 1000).select("src", "dst", "batch")
+
+
 @query("recon_mask", "with k as (select c_custkey id, row_number() over (order by md5(concat_ws(':', 12, c_custkey)), c_custkey) k from customer), n as (select ceil(count(*) * 0.2) n from customer) select id, k <= (select n from n) chosen, case when not (k <= (select n from n) and ('0x' || substr(md5(concat_ws(':', '12/mask', id)), 1, 8))::bigint / 4294967296.0 < 0.9) then id end mapped from k")
 def _(spark, d):
     return splits.reconstruction_mask(customers(spark, d), 0.2, 0.9, 12)
