@@ -398,3 +398,23 @@ def test_near_copies(spark):
     kept = {r["doc_id"] for r in simhash.one_of_each_group(documents(spark, made), near=True).collect()}
     assert {i for i in copies if i % 10 == 0} <= kept and len(kept & set(copies)) <= 43
     assert simhash.near_copies(documents(spark, [])).count() == 0
+
+
+def test_near_copies_against_exact_jaccard(spark):
+    rng = random.Random(21)
+    made = list(ODD)
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(20, 200))]
+        made.append((1000 + len(made), " ".join(base), "s"))
+        for _ in range(8):  # words changed one by one or in a row, similarities on both sides of 0.8
+            copy, n = list(base), max(1, int(len(base) * rng.uniform(0.01, 0.12)))
+            start = rng.randrange(len(copy) - n)
+            for at in rng.choice([rng.sample(range(len(copy)), max(1, n // 3)), range(start, start + n)]):
+                copy[at] = f"w{rng.randrange(5000)}"
+            made.append((1000 + len(made), " ".join(copy), "s"))
+    texts = {i: t for i, t, _ in made}
+    ids = sorted(texts)
+    sets = [set(simhash.shingle_hashes(texts[i], 5).tolist()) for i in ids]
+    roots = smallest_reached(len(ids), lambda a, b: bool(sets[a]) and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
+    found = dict(rows(common.components(simhash.near_copies(documents(spark, made)))))
+    assert [found.get(i, i) for i in ids] == [ids[r] for r in roots]
