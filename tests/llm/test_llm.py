@@ -418,3 +418,18 @@ def test_near_copies_against_exact_jaccard(spark):
     roots = smallest_reached(len(ids), lambda a, b: bool(sets[a]) and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
     found = dict(rows(common.components(simhash.near_copies(documents(spark, made)))))
     assert [found.get(i, i) for i in ids] == [ids[r] for r in roots]
+
+
+def test_toxicity_in_other_spellings():
+    words = ["river", "stone", "cloud", "window", "garden", "letter", "music", "winter", "paper", "light", "the", "and", "in", "a", "grass", "shirt", "grumblok", "snarvass"]
+    letters: dict[str, int] = {}
+    for word in words:
+        padded = f"  {word} "
+        for k in range(2, len(padded)):
+            for g in (padded[k], padded[k - 1 : k + 1], padded[k - 2 : k + 1]):
+                letters[g] = letters.get(g, 0) + 300
+    score = toxicity.Toxicity(toxicity.CharacterModel(letters), {" grumblok ": 6.0, " snarvass ": 6.0}).scorer()
+    for hidden in ("g r u m b l o k", "g  r  u  m  b  l  o  k", "g . r . u . m . b . l . o . k", "g r u m b 1 0 k", "a g r u m b l o k", "g r u m b l o k a", "gr um bl ok", "snarva$$", "snarva$$.", "(snarva$$)", "s n @ r v a $ $", "grrumblok", "gruumbllok", "(grumbl0k)", "grumbl0k!!"):
+        assert score(f"the river and {hidden} garden") >= 0.7, hidden
+    for clean in ("a b c d e f g", "grass! shirt+", "1 2 3 4 5", "! ! ! !", "in a in a in a", "a b " * 30_000, "letter!!! (garden) @home"):
+        assert score(clean) < 0.7, clean[:40]

@@ -27,8 +27,10 @@ BASE = -4.0
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Costs in the channel: to write a character otherwise, to put a separator in, to repeat a character, to leave a sign as it is.
 SWAP, SEPARATE, REPEAT, SIGN = 1.0, 0.3, 0.5, 9.0
-_THRICE = re.compile(r"(\w)\1\1")
-_APART = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+_TWICE = re.compile(r"(\w)\1")
+_MARK = rf"[^\W_{re.escape(''.join(LEET))}]|[{re.escape(''.join(LEET))}]"
+#: Three or more short tokens, of one or two letters or signs, set apart by one to three blanks or separators.
+_APART = re.compile(rf"(?<![^\s.\-_*])(?:{_MARK}){{1,2}}(?:[\s.\-_*]{{1,3}}(?:{_MARK}){{1,2}}){{2,}}(?![^\s.\-_*,;:?\"')\]])")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -57,35 +59,43 @@ class CharacterModel:
 
 
 def restore(noisy: str, model: CharacterModel) -> str:
-    """The likeliest word behind a noisy one: Viterbi over the lattice of what its characters may stand for.
+    """The likeliest words behind a noisy one or a run of short tokens: Viterbi over the lattice of what its characters may stand for.
 
     The state is the last two characters restored and the last one seen. Each character costs what the channel takes and what the model takes.
+    A blank ends a word or stands within one. Texts are chains of (text before, character), so that long runs take linear time.
     """
-    best: dict[tuple[str, str], tuple[float, str]] = {("  ", ""): (0.0, "")}
+    best: dict[tuple[str, str], tuple[float, tuple | None]] = {("  ", ""): (0.0, None)}
     for c in noisy:
-        step: dict[tuple[str, str], tuple[float, str]] = {}
+        step: dict[tuple[str, str], tuple[float, tuple | None]] = {}
 
-        def put(last: str, seen: str, cost: float, text: str, step: dict = step) -> None:
+        def put(last: str, seen: str, cost: float, text: tuple | None, step: dict = step) -> None:
             if (key := (last, seen)) not in step or step[key][0] > cost:
                 step[key] = (cost, text)
 
         for (last, seen), (cost, text) in best.items():
             if c.isalpha():
-                put(last[1] + c, c, cost + model.cost(last + c), text + c)
+                put(last[1] + c, c, cost + model.cost(last + c), (text, c))
             for x in LEET.get(c, ""):
-                put(last[1] + x, c, cost + SWAP + model.cost(last + x), text + x)
+                put(last[1] + x, c, cost + SWAP + model.cost(last + x), (text, x))
             if c == seen or c == last[1]:
                 put(last, c, cost + REPEAT, text)
+            if c.isspace() and last != "  ":
+                put("  ", "", cost + model.cost(last + " "), (text, " "))
             if not c.isalnum():
                 put(last, seen, cost + (SEPARATE if c not in LEET else SIGN), text)
             elif not c.isalpha():
                 put(last, seen, cost + SIGN, text)
         best = step
-    return min((cost + model.cost(last + " "), text) for (last, _), (cost, text) in best.items())[1]
+    end = lambda x: x[1][0] + (0.0 if x[0][0] == "  " else model.cost(x[0][0] + " "))
+    chain, found = min(best.items(), key=lambda x: (end(x), x[0]))[1][1], []
+    while chain:
+        chain, c = chain
+        found.append(c)
+    return "".join(reversed(found))
 
 
 class Plain(dict):
-    """Tokens between blanks as words of letters, noisy ones restored beside their own letters; kept until there are a million."""
+    """Tokens between blanks as words of letters, noisy ones restored beside their own letters; kept until there are a million, as are runs of tokens, under a blank and the run."""
 
     def __init__(self, model: CharacterModel):
         self.model = model
@@ -97,21 +107,32 @@ class Plain(dict):
         return word
 
     def undone(self, token: str) -> str:
-        end = len(token)
-        while end and not token[end - 1].isalnum():
-            end -= 1
-        begin = 0
-        while begin < end and not token[begin].isalnum() and token[begin] not in LEET:
-            begin += 1
-        core = token[begin:end]
-        if core.isalpha() and not _THRICE.search(core):
-            return core
+        """Restored with the signs at its ends that may stand for letters, restored without them, and its own letters."""
+        sides = [[k for k, c in enumerate(token) if c.isalnum() or (c in LEET and signs)] for signs in (True, False)]
+        signed, core = (token[at[0] : at[-1] + 1] if at else "" for at in sides)
         own = _OTHER.sub(" ", core).strip()
-        return f"{restore(core, self.model)} {own}" if own else ""
+        if not own:
+            return ""
+        words = [own]
+        for noisy in dict.fromkeys((core, signed)):
+            if not noisy.isalpha() or _TWICE.search(noisy):
+                words.insert(0, restore(noisy, self.model))
+        return " ".join(dict.fromkeys(words))
+
+    def run(self, m: re.Match) -> str:
+        """A run of short tokens as the words that it restores to, before itself."""
+        if not any(map(str.isalpha, m[0])):
+            return m[0]
+        key = f" {m[0]}"
+        if (words := self.get(key)) is None:
+            if len(self) > 1 << 20:
+                self.clear()
+            self[key] = words = restore(m[0], self.model)
+        return f" {words} {m[0]}"
 
     def text(self, text: str | None) -> str:
-        """A blank, the words of the text between blanks, a blank. Letters set apart by blanks are brought together first."""
-        text = _APART.sub(lambda m: f"{''.join(m[0].split())} {m[0]}", (text or "").lower())
+        """A blank, the words of the text between blanks, a blank. Runs of short tokens are brought together first."""
+        text = _APART.sub(self.run, (text or "").lower())
         return f" {' '.join(map(self.__getitem__, text.split()))} "
 
 
