@@ -143,6 +143,10 @@ def test_components(spark):
 
 
 def distance(a, b):
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row, last = [i], row
@@ -166,18 +170,20 @@ def test_line_dedup_against_brute_force(spark):
                     base.pop(k)
                 else:
                     base[k] = rng.choice("abcd")
-    made = ODD + [(100 + i, "\n".join(rng.choices(lines, k=4)), "s") for i in range(60)]
+    short = ["Read more", "Read more.", "Read  more", "Share", "Share!", "Shar", "abcd", "abce", "ab", "a", "é漢字😀x", "é漢字😀y", "Read moreover", "Read mores", "next page >", "next page", "next pages >"]
+    many = [f"{'template ' * 8}{k:05d} and so on" for k in range(0, 1500, 7)]  # more than a cell under one key
+    made = ODD + [(100 + i, "\n".join(rng.choices(lines + short, k=4)), "s") for i in range(80)] + [(500, "\n".join(many), "s")]
     df = documents(spark, made)
-    known, links = line_dedup.line_links(df)
-    texts = {}
-    for _, t, _ in made:
-        for x in (t or "").split("\n"):
-            if x.strip(" "):
-                texts.setdefault(x.strip(" "), None)
+    texts = {x.strip(" ") for _, t, _ in made for x in (t or "").split("\n") if x.strip(" ")}
     hashed = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t")).collect()
+    names = [t for t, _ in sorted(map(tuple, hashed), key=lambda x: x[1])]
     ids = {t: i for t, i in map(tuple, hashed)}
-    true = {tuple(sorted((ids[a], ids[b]))) for a in texts for b in texts if a < b and min(len(a), len(b)) >= 12 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
-    assert known.count() == len(texts) and {tuple(sorted(map(int, r))) for r in rows(links)} == true and true
+    near = lambda a, b: abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 5)
+    true = {(a, b) for a in range(len(names)) for b in range(a) if near(names[a], names[b])}
+    roots = smallest_reached(len(names), lambda a, b: (a, b) in true)
+    found = {r["id"]: r for r in line_dedup.line_classes(df).collect()}
+    assert len(found) == len(names) and all(found[ids[t]]["n_links"] == sum(k in p for p in true) for k, t in enumerate(names))
+    assert [found[ids[t]]["class_id"] for t in names] == [ids[names[r]] for r in roots] and len(set(roots)) < len(roots)
     report = {r["doc_id"]: r for r in line_dedup.line_report(df).collect()}
     assert report[1]["n_lines"] == 0 and report[7]["n_kept"] == 0 and report[6]["n_kept"] == 1
     cleaned = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(df).collect()}
