@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -123,7 +124,9 @@ def test_simhash_against_brute_force(spark):
     roots = smallest_reached(len(ids), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
     assert [found[i][1] for i in ids] == [ids[r] for r in roots]
     assert simhash.simhash_groups(documents(spark, [])).count() == 0
-    kept = simhash.one_of_each_group(documents(spark, made))
+    odd = documents(spark, made).withColumn("a.b", F.lit(1)).withColumn("of", F.lit(2))
+    kept = simhash.one_of_each_group(odd)
+    assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({ids[r] for r in roots})
 
 
@@ -374,18 +377,34 @@ def test_pipeline_against_its_stages_by_hand(spark):
 
 def c_near(ids, texts):
     prints = [slow_fingerprint(texts[i]["text"], 3) for i in ids]
-    pieces = [simhash.long_fingerprint(simhash.shingle_hashes(texts[i]["text"], 2), 4) for i in ids]
-    signs = [simhash.long_fingerprint(simhash.shingle_hashes(texts[i]["text"], 5), 4) for i in ids]
+    sets = [set(simhash.shingle_hashes(texts[i]["text"], 5).tolist()) for i in ids]
 
     def near(a, b):
-        if (prints[a] ^ prints[b]).bit_count() <= 2:
-            return True
-        parts = np.bitwise_count((pieces[a] ^ pieces[b]).view(np.uint32))
-        return parts.min() <= simhash.PIECE_BUDGET and np.bitwise_count(signs[a] ^ signs[b]).sum() <= simhash.APART
+        return (prints[a] ^ prints[b]).bit_count() <= 2 or bool(sets[a]) and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
 
     return sorted({ids[r] for r in smallest_reached(len(ids), near)})
 
 
+def test_crowded_prefixes_are_dealt_again(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    values = np.unique(np.concatenate([base[:, None] ^ (np.uint64(1) << rng.integers(0, 24, (6, 40)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, (6, 40)).astype(np.uint64))]).ravel())
+    nodes = spark.createDataFrame([(k, int(v.view(np.int64))) for k, v in enumerate(values)], "id long, fp long")
+    roots = smallest_reached(len(values), lambda a, b: int(values[a] ^ values[b]).bit_count() <= 2)
+    for hot in (5, 50_000):
+        found = dict(rows(common.components(simhash.linked(nodes, hot=hot))))
+        assert [found.get(k, k) for k in range(len(values))] == roots
+
+
+def test_whole_groups():
+    keys = [1] * 3 + [2] + [3] * 40 + [4, 5, 5, 6]
+    batches = [pa.record_batch([pa.array(keys[k : k + 4], pa.int64())], names=["key"]) for k in range(0, len(keys), 4)]
+    tables = list(common.whole_groups(iter(batches), lambda t: [t.column("key").to_numpy()], rows=6))
+    assert [k for t in tables for k in t.column("key").to_pylist()] == keys and len(tables) > 1
+    ends = [(t.column("key")[0].as_py(), t.column("key")[-1].as_py()) for t in tables]
+    assert all(a[1] != b[0] for a, b in zip(ends, ends[1:], strict=False)) and not list(common.whole_groups(iter([]), lambda t: []))
+
+
 def test_near_copies(spark):
     rng = random.Random(12)
     made = list(ODD)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,10 @@ def scratch(spark: SparkSession) -> str:
     ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftgraph-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -44,6 +50,40 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Callable[[pa.Table], list[np.ndarray]], rows: int = 1 << 18) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows, or of one larger group, from batches in which rows of equal keys stand together; no group is divided."""
+    rest: list[pa.RecordBatch] = []
+    held, enough = 0, rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        held += batch.num_rows
+        if held < enough:
+            continue
+        table = pa.Table.from_batches(rest).combine_chunks()
+        changes = np.zeros(table.num_rows - 1, bool)
+        for key in keys(table):
+            changes |= key[1:] != key[:-1]
+        if changes.any():
+            cut = int(np.flatnonzero(changes)[-1]) + 1
+            yield table.slice(0, cut)
+            table = table.slice(cut)
+        rest = table.to_batches()
+        # A group that outgrows `rows` is looked through again only after it has doubled.
+        held, enough = table.num_rows, max(rows, 2 * table.num_rows)
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -60,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
     component's size. A hub's minimum is pre-aggregated and saved before it is joined, so that the join
     reads plain exchanges, whose hot keys adaptive execution splits. Self-loops keep lone ids.
     """
-    loops = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    loops = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     work = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _stamp(work)
     while seen[0]:

@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, ship
+from .common import components, saved, ship, unused, whole_groups
 
 SEED = 42
 #: Bits of each value of a byte, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 #: Node pairs expanded at once; more wait on a stack, so that memory stays bounded.
-_FRONT = 1 << 20
+_FRONT = 1 << 14
+#: Fingerprints under one prefix above which it is dealt by further bits.
+HOT = 50_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -128,49 +130,66 @@ def _dealt(value: Column, budget: int, bits: int) -> list[Column]:
     return found
 
 
+def _refined(rows: DataFrame, budget: int, bits: int, hot: int) -> DataFrame:
+    """Rows under crowded prefixes are dealt once more: of budget + 1 pieces of the bits that are left, fingerprints within the budget agree in one."""
+    crowded = saved(rows.groupBy("under").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("under").alias("of")))
+    if crowded.isEmpty():
+        return rows
+    many = rows.join(crowded, F.col("under") == F.col("of"), "left_semi")
+    found = []
+    for shared in sorted({width for _, width in _widths(budget, bits)}):
+        rest, own = bits - shared, many.where(F.col("shared") == shared)
+        pieces, low = _blocks(F.col("value").bitwiseAND(F.lit((1 << rest) - 1)), rest, budget + 1), F.shiftrightunsigned("value", rest)
+        for k, (piece, width) in enumerate(pieces):
+            turned = F.shiftleft(low, width).bitwiseOR(piece)
+            for j, (other, w) in enumerate(pieces):
+                if j != k:
+                    turned = F.shiftleft(turned, w).bitwiseOR(other)
+            under = F.concat_ws("-", "under", F.lit(k), piece)
+            found.append(own.select("id", F.lit(shared + width).alias("shared"), under.alias("under"), (1000 + 10 * F.col("deal") + k).alias("deal"), turned.alias("value")))
+    rows = rows.join(crowded, F.col("under") == F.col("of"), "left_anti")
+    for more in found:
+        rows = rows.unionByName(more)
+    return rows
+
+
+def _widths(budget: int, bits: int) -> list[tuple[tuple[int, int], int]]:
+    at = [round(bits * k / (budget + 2)) for k in range(budget + 3)]
+    return [((i, j), at[i + 1] - at[i] + at[j + 1] - at[j]) for i, j in combinations(range(budget + 2), 2)]
+
+
 def _joined(rows: DataFrame, budget: int, bits: int) -> DataFrame:
     """Edges (a, b) of a spanning forest of what the tries of each task link; all pairs of a group never leave it.
 
-    rows: (id, shared, under, deal, value).
+    rows: (id, shared, under, deal, value). A task reads them in the order of their values and holds only so many prefixes at a time.
     """
 
+    def prefixes(table: pa.Table) -> list[np.ndarray]:
+        top = (bits - table.column("shared").to_numpy()).astype(np.uint64)
+        return [table.column("deal").to_numpy(), table.column("value").to_numpy().view(np.uint64) >> top]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
-            return
-        ids, shared, deal = (rows.column(k).to_numpy() for k in ("id", "shared", "deal"))
-        values = rows.column("value").to_numpy().view(np.uint64)
-        for d in np.unique(deal):
-            mine = np.flatnonzero(deal == d)
-            mine = mine[np.argsort(values[mine], kind="stable")]
-            pairs = trie_links(values[mine], int(shared[mine[0]]), budget, bits)
-            root = forest(len(mine), pairs)
-            moved = root != np.arange(len(mine))
-            yield pa.record_batch([pa.array(ids[mine[moved]]), pa.array(ids[mine[root[moved]]])], names=["a", "b"])
+        for rows in whole_groups(batches, prefixes):
+            ids, shared, deal = (rows.column(k).to_numpy() for k in ("id", "shared", "deal"))
+            values = rows.column("value").to_numpy().view(np.uint64)
+            for d in np.unique(deal):
+                mine = np.flatnonzero(deal == d)
+                mine = mine[np.argsort(values[mine], kind="stable")]
+                pairs = trie_links(values[mine], int(shared[mine[0]]), budget, bits)
+                root = forest(len(mine), pairs)
+                moved = root != np.arange(len(mine))
+                yield pa.record_batch([pa.array(ids[mine[moved]]), pa.array(ids[mine[root[moved]]])], names=["a", "b"])
 
     ship(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "under").select("id", "shared", "deal", "value").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(parts, "under").select("id", "shared", "deal", "value").sortWithinPartitions("deal", "value")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def linked(nodes: DataFrame, budget: int = 2, bits: int = 64) -> DataFrame:
+def linked(nodes: DataFrame, budget: int = 2, bits: int = 64, hot: int = HOT) -> DataFrame:
     """Edges (a, b) that connect the nodes (id, fp) of distinct fingerprints at most `budget` bits apart."""
-    return _joined(nodes.select("id", F.explode(F.array(*_dealt(F.col("fp"), budget, bits))).alias("x")).select("id", "x.*"), budget, bits)
-
-
-#: The sketch rule near copies were once decided by; the brute-force test of the pipeline still states it.
-PIECES, PIECE, PIECE_BUDGET, SIGNATURE, APART = 8, 32, 2, 256, 40
-
-
-def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
-    """`words` times 64 majority bits of a set of hashes, each word from hashes mixed anew."""
-    out = np.zeros(words, np.uint64)
-    hashes = np.unique(hashes)
-    for k in range(words):
-        out[k] = fingerprint(hashes)
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(29)
-    return out
+    rows = nodes.select("id", F.explode(F.array(*_dealt(F.col("fp"), budget, bits))).alias("x")).select("id", "x.*")
+    return _joined(_refined(rows, budget, bits, hot), budget, bits)
 
 
 #: Near copies: texts that agree in all ROWS least hashes of one of BANDS bands are compared. At a similarity of 0.8 a pair
@@ -192,15 +211,14 @@ def _shared_bands(nodes: DataFrame) -> DataFrame:
     """(key, n, id) of the bands that several nodes (id, n, keys) share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if found := list(batches):
-            rows = pa.Table.from_batches(found)
+        for rows in whole_groups(batches, lambda t: [t.column("key").to_numpy()]):
             key = rows.column("key").to_numpy()
             _, at, count = np.unique(key, return_inverse=True, return_counts=True)
             yield from rows.filter(pa.array(count[at] > 1)).combine_chunks().to_batches()
 
     rows = nodes.select(F.explode("keys").alias("key"), "n", "id")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").mapInArrow(run, "key long, n long, id long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, n long, id long")
 
 
 def _candidates(bands: DataFrame, low: int, high: int) -> DataFrame:
@@ -208,10 +226,10 @@ def _candidates(bands: DataFrame, low: int, high: int) -> DataFrame:
     that stand `low` to `high` - 1 places apart in the order of (n, id); a row of nulls where pairs may stand further apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (found := list(batches)):
-            return
-        rows = pa.Table.from_batches(found)
-        key, n, ids, top = (rows.column(c).to_numpy() for c in ("key", "n", "id", "component"))
+        for rows in whole_groups(batches, lambda t: [t.column("key").to_numpy()]):
+            yield from propose(*(rows.column(c).to_numpy() for c in ("key", "n", "id", "component")))
+
+    def propose(key: np.ndarray, n: np.ndarray, ids: np.ndarray, top: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((ids, n, key))
         key, n, ids, top = key[order], n[order], ids[order], top[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -228,7 +246,7 @@ def _candidates(bands: DataFrame, low: int, high: int) -> DataFrame:
             yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
 
     parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bands.repartition(parts, "key").mapInArrow(run, "a long, b long").distinct()
+    return bands.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -294,15 +312,16 @@ def one_of_each_group(docs: DataFrame, width: int = 3, budget: int = 2, near: bo
     near: groups are joined with those of near_copies(), which differ in more bits than the budget of short fingerprints allows.
     Of rows that share a doc_id one stays; rows without doc_id can't be told apart and stay.
     """
+    of = unused(docs, "of")
     groups = saved(simhash_groups(docs, width, budget).select("doc_id", "component_id"))
     if near:
         edges = saved(near_copies(docs).unionByName(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))))
         found = saved(components(edges).select(F.col("id").alias("of"), F.col("component_id").alias("least")))
         groups = saved(groups.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", F.coalesce("least", "component_id").alias("component_id")))
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    twice = saved(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(of)).distinct()
+    kept = docs.join(others, F.col("doc_id") == F.col(of), "left_anti")
+    twice = saved(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias("n")).where("n > 1").select(of))
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    once = kept.join(twice, F.col("doc_id") == F.col(of), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, F.col("doc_id") == F.col(of), "left_anti").union(once)
