@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import saved, text_or_empty
+from .common import saved, text_or_empty, unused
 
 #: Buckets of the documents of a shard for numbering them, and of the groups of one size where a cut falls.
 BUCKETS = 4096
@@ -100,12 +100,14 @@ def digest_of_rank(groups: DataFrame, size: int, rank: int) -> str:
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """The rows of docs, with all their columns, and the shard and slot that shard_documents() gives them."""
+    """The rows of docs, with all their columns, and the shard and slot that shard_documents() gives them; a column that is
+    called like one of these keeps its name, and the new one gets an underscore."""
     placed = saved(shard_documents(docs, shards))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    key, number, shard, slot = (unused(docs, c) for c in ("key", "number", "shard", "slot"))
     # Rows that share a doc_id are numbered alike on both sides. The numbers are compared outside the key, so that texts move once.
-    key = F.xxhash64("doc_id")
-    number = lambda *order: F.row_number().over(W.Window.partitionBy("_key").orderBy("doc_id", *order))
-    left = docs.select(*columns, key.alias("_key")).withColumn("_left", number(F.crc32(F.encode(text_or_empty(), "UTF-8"))))
-    right = placed.withColumn("_key", key).withColumn("_right", number("text_crc32", "slot")).select("_key", "_right", "shard", "slot")
-    return left.join(right, (left["_key"] == right["_key"]) & (F.col("_left") - F.col("_right") == 0)).select(*columns, "shard", "slot")
+    window = lambda *order: F.row_number().over(W.Window.partitionBy(key).orderBy("doc_id", *order))
+    left = docs.withColumn(key, F.xxhash64("doc_id")).withColumn(number, window(F.crc32(F.encode(text_or_empty(), "UTF-8"))))
+    right = placed.withColumn(key, F.xxhash64("doc_id")).withColumn(number, window("text_crc32", "slot"))
+    right = right.select(F.col(key).alias(f"{key}_of"), F.col(number).alias(f"{number}_of"), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    same = (F.col(key) == F.col(f"{key}_of")) & (F.col(number) - F.col(f"{number}_of") == 0)
+    return left.join(right, same).drop(key, number, f"{key}_of", f"{number}_of")
