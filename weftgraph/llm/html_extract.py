@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,12 +21,11 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that begin and end a block, those without content, and those whose content isn't text. Fixed values.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg math object".split())
+RAW = frozenset("script style template".split())
 #: An element on the left ends open ones on the right.
 ENDS = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class, id and role names that tell something, by their beginnings. Fixed values.
 NAMES = "ad ads adv advert sponsor promo banner cookie consent notice alert popup modal overlay nav menu breadcrumb crumb tab header masthead logo top footer bottom copyright legal sidebar side aside widget rail related recommend share social comment reply respond discuss thread form search login subscribe newsletter signup tag meta byline author date pagination pager content article main post entry body text story page".split()
-MAX_DEPTH = 400
 
 
 def leaf_blocks(page: str) -> Iterator[tuple[str, list[str]]]:
@@ -33,7 +33,8 @@ def leaf_blocks(page: str) -> Iterator[tuple[str, list[str]]]:
 
     Broken markup doesn't stop it: tags that end nothing are skipped, what stays open ends with the page.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked, at, n = 0, 0, len(page)
 
@@ -42,7 +43,11 @@ def leaf_blocks(page: str) -> Iterator[tuple[str, list[str]]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         share, linked = linked / max(1, sum(map(len, parts))), 0
         parts.clear()
-        return (text, features(text, share, stack)) if text else None
+        return (text, features(text, share, stack[-1] if stack else Node())) if text else None
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            open_[stack.pop().tag] -= 1
 
     while at < n:
         m = _TOKEN.match(page, at)
@@ -50,57 +55,66 @@ def leaf_blocks(page: str) -> Iterator[tuple[str, list[str]]]:
         if (tag := m[2]) is None:
             if (piece := m[0])[:1] != "<" or piece == "<":
                 parts.append(piece)
-                if any(t == "a" for t, _ in stack[-6:]):
+                if open_["a"]:
                     linked += len(piece)
             continue
         tag = tag.lower()
         if tag in BLOCKS and parts and (found := block()):
             yield found
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             if tag not in BLOCKS and not parts:
                 continue
         elif tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = close.end() if close and not m[3].rstrip().endswith("/") else (at if m[3].rstrip().endswith("/") else n)
+            end = None if m[3].rstrip().endswith("/") else re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
+            # The rest of a page belongs to a script or style that stays open, as browsers read it.
+            at = end.end() if end else at if m[3].rstrip().endswith("/") or tag == "template" else n
         elif tag == "br" or tag in VOID:
             parts.append(" ")
         else:
             closes = ENDS.get(tag) or ({"p"} if tag in BLOCKS else set())
-            if closes and stack and stack[-1][0] in closes:
-                stack.pop()
-            elif closes:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
-                    if stack[k][0] in closes:
-                        del stack[k:]
+            if any(open_[c] for c in closes):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag in closes:
+                        close(k)
                         break
-                    if stack[k][0] in BLOCKS and stack[k][0] not in ("p", "b"):
+                    if stack[k].tag in BLOCKS and stack[k].tag != "p":
                         break
-            if len(stack) < MAX_DEPTH:
-                stack.append((tag, names(m[3]) if "=" in m[3] else ()))
+            stack.append((stack[-1] if stack else Node()).child(tag, names(m[3]) if "=" in m[3] else ()))
+            open_[tag] += 1
     if parts and (found := block()):
         yield found
 
 
+@dataclass(frozen=True)
+class Node:
+    """An open element: its tag, the features of it and its ancestors, and the nearest block. Depth costs nothing, since features are shared."""
+
+    tag: str = ""
+    above: frozenset[str] = frozenset()
+    block: str = "none"
+
+    def child(self, tag: str, called: tuple[str, ...]) -> Node:
+        more = {f"in:{tag}", *(f"name:{x}" for x in called)}
+        return Node(tag, self.above if more <= self.above else self.above | more, tag if tag in BLOCKS else self.block)
+
+
 def names(attributes: str) -> tuple[str, ...]:
     words = (w.lower() for a in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall(a[2] or a[3] or a[4] or ""))
     return tuple(x for w in words for x in NAMES if w == x or len(x) > 3 and w.startswith(x))
 
 
-def features(text: str, links: float, stack: list[tuple[str, tuple[str, ...]]]) -> list[str]:
+def features(text: str, links: float, within: Node) -> list[str]:
     """Ancestors by tag and by name, the nearest block, and what the text looks like."""
-    found = {f"in:{t}" for t, _ in stack} | {f"name:{x}" for _, xs in stack for x in xs}
-    own = next((t for t, _ in reversed(stack) if t in BLOCKS), "none")
+    found = set(within.above)
     count = text.count(" ") + 1
-    found.add(f"own:{own}")
+    found.add(f"own:{within.block}")
     found.add(f"words:{min(6, count.bit_length())}")
     found.add(f"links:{int(4 * links)}")
     found.add(f"end:{'stop' if text[-1] in '.!?:…' else 'none'}")
     found.add(f"commas:{min(3, text.count(','))}")
-    if "©" in text or "copyright" in text[:200].lower():
+    if "©" in text or "copyright" in text.lower():
         found.add("sign:copyright")
     return sorted(found)
 
