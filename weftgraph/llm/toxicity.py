@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,6 @@ from .common import saved, ship
 
 #: Labelled documents that the model is fitted on at most, dealt by hash; everything else covers all rows.
 SAMPLE = 8000
-#: Grams that the model keeps at most, the strongest first.
-GRAMS = 5000
 #: A gram counts if its likelihood ratio statistic against chance is SURE over 2 ln of the number of grams that were tried, and its
 #: log odds at least LEAST; one word adds MOST at most.
 SURE, LEAST, MOST = 3.0, 2.5, 6.0
@@ -34,12 +33,40 @@ _APART = re.compile(rf"(?<![^\s.\-_*])(?:{_MARK}){{1,2}}(?:[\s.\-_*]{{1,3}}(?:{_
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+#: Characters that the model tells apart: a to z, any other, and the blank; so its trigrams are at most 28 ** 3.
+SIGNS = "abcdefghijklmnopqrstuvwxyz¿ "
+_CLASS = np.full(128, len(SIGNS) - 1, np.uint8)
+_CLASS[[ord(c) for c in SIGNS[:26]]] = np.arange(26)
+
+
+def character_counts(texts: Iterator[str | None]) -> np.ndarray:
+    """How often each three characters of SIGNS follow each other in the words of texts, two blanks before and one after each."""
+    total = np.zeros(len(SIGNS) ** 3, np.int64)
+    for text in texts:
+        if text:
+            codes = np.frombuffer(_OTHER.sub("  ", f" {text.lower()} ").encode("utf-32-le", "surrogatepass"), np.uint32)
+            kinds = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], len(SIGNS) - 2).astype(np.int64)
+            grams = (kinds[:-2] * len(SIGNS) + kinds[1:-1]) * len(SIGNS) + kinds[2:]
+            total += np.bincount(grams[(kinds[1:-1] < len(SIGNS) - 1) | (kinds[2:] < len(SIGNS) - 1)], minlength=len(total))
+    return total
+
+
 @dataclass
 class CharacterModel:
     """Trigrams of characters with back-off, over words between blanks."""
 
     counts: dict[str, int] = field(default_factory=dict)
 
+    @classmethod
+    def of(cls, trigrams: dict[int, int]) -> CharacterModel:
+        """From counts by place in character_counts(); shorter grams are sums of longer ones."""
+        counts: dict[str, int] = {}
+        for k, n in trigrams.items():
+            gram = SIGNS[k // len(SIGNS) ** 2] + SIGNS[k // len(SIGNS) % len(SIGNS)] + SIGNS[k % len(SIGNS)]
+            for g in (gram, gram[1:], gram[2:]):
+                counts[g] = counts.get(g, 0) + n
+        return cls(counts)
+
     def __post_init__(self) -> None:
         self.known: dict[str, float] = {}
         self.under: dict[str, int] = {}
@@ -50,10 +77,13 @@ class CharacterModel:
     def cost(self, gram: str) -> float:
         """-log of the share of the gram's last character after the others, smoothed by shorter contexts."""
         if (value := self.known.get(gram)) is None:
+            signs = "".join(c if c in SIGNS else SIGNS[-2] for c in gram)
             p = 1 / self.size
-            for k in range(len(gram) - 1, -1, -1):
-                g = gram[k:]
+            for k in range(len(signs) - 1, -1, -1):
+                g = signs[k:]
                 p = (self.counts.get(g, 0) + 5 * p) / (self.under.get(g[:-1], 0) + 5)
+            if len(self.known) > 1 << 20:
+                self.known.clear()
             self.known[gram] = value = -math.log(p)
         return value
 
@@ -193,9 +223,9 @@ def _firsts_of_families(rows: list[tuple[int, int, list[int]]]) -> list[int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
-    """Learn characters and grams from labelled rows whose crc32 mod 3 isn't 1.
+    """Learn characters and grams from rows whose crc32 mod 3 isn't 1.
 
-    A bounded sample by hash, of which near copies (that share one of four least hashes of sentences) count once, so that a copied
+    Characters are counted over all their texts. Grams come from a bounded sample by hash of labelled ones, of which near copies (that share one of four least hashes of sentences) count once, so that a copied
     text can't make its rare words look toxic. Repeated labels count as their highest.
     """
     ship(docs.sparkSession)
@@ -212,35 +242,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
-        letters: dict[str, int] = {}
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word in set(_OTHER.sub(" ", text.lower()).split()):
                     for g in ("", *grams(word)):
                         found.setdefault(g, [0, 0])[bool(toxic)] += 1
-                    padded = f"  {word} "
-                    for k in range(2, len(padded)):
-                        for g in (padded[k], padded[k - 1 : k + 1], padded[k - 2 : k + 1]):
-                            letters[g] = letters.get(g, 0) + 1
-        rows = [(0, g, n1, n0) for g, (n0, n1) in found.items()] + [(1, g, n, 0) for g, n in letters.items()]
-        if rows:
-            columns = list(zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["kind", "gram", "n1", "n0"])
-
-    counts = saved(rows.mapInArrow(run, "kind int, gram string, n1 long, n0 long").groupBy("kind", "gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
-    letters = {r["gram"]: r["n1"] for r in counts.where("kind = 1").orderBy(F.desc("n1"), "gram").limit(200_000).collect()}
-    total = counts.where("kind = 0 and gram = ''").first()
+        if found:
+            yield pa.record_batch([pa.array(list(found)), pa.array([n[1] for n in found.values()], pa.int64()), pa.array([n[0] for n in found.values()], pa.int64())], names=["gram", "n1", "n0"])
+
+    def characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sum((character_counts(t.as_py() for t in batch.column(0)) for batch in batches), np.zeros(len(SIGNS) ** 3, np.int64))
+        used = np.flatnonzero(found)
+        yield pa.record_batch([pa.array(used), pa.array(found[used])], names=["gram", "n"])
+
+    counts = saved(rows.mapInArrow(run, "gram string, n1 long, n0 long").groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
+    learned = docs.where(~held_out(3, 1)).select("text").mapInArrow(characters, "gram long, n long")
+    letters = {r["gram"]: r["n"] for r in learned.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    total = counts.where("gram = ''").first()
     weights: dict[str, float] = {}
-    sure = SURE + 2 * math.log(max(1, counts.where("kind = 0").count()))
+    sure = SURE + 2 * math.log(max(1, counts.count()))
     if total and total["n1"] and total["n0"]:
         a1, a0 = float(total["n1"]), float(total["n0"])
         n1, n0 = F.col("n1"), F.col("n0")
         odds = F.log((n1 + 0.5) / (a1 + 1)) - F.log((n0 + 0.5) / (a0 + 1))
         part = lambda n, a: F.when(n > 0, n * F.log(n * (a1 + a0) / ((n1 + n0) * a))).otherwise(0.0)
-        strong = counts.where("kind = 0 and gram <> '' and n1 > 1").select("gram", "n1", "n0", odds.alias("odds"), (2 * (part(n1, a1) + part(n0, a0))).alias("sure"))
-        strong = strong.where((F.col("odds") >= LEAST) & (F.col("sure") >= sure)).orderBy(F.desc("sure"), "gram").limit(GRAMS)
+        strong = counts.where("gram <> '' and n1 > 1").select("gram", "n1", "n0", odds.alias("odds"), (2 * (part(n1, a1) + part(n0, a0))).alias("sure"))
+        strong = strong.where((F.col("odds") >= LEAST) & (F.col("sure") >= sure))
         weights = _own_evidence({r["gram"]: (r["n1"], r["n0"], min(MOST, r["odds"])) for r in strong.collect()}, a1, a0)
-    return Toxicity(CharacterModel(letters), weights)
+    return Toxicity(CharacterModel.of(letters), weights)
 
 
 def _own_evidence(strong: dict[str, tuple[int, int, float]], a1: float, a0: float) -> dict[str, float]:
