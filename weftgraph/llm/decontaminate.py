@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import saved, ship, unused
 
 WIDTH = 5
 THRESHOLD = 0.8
 #: Bytes of item texts that one pass over the documents compares; more items take more passes.
 BLOCK_BYTES = 32 << 20
+#: Items of fewer shingles are candidates of every text that holds one of them.
+DIRECT = 8
 _WORD = re.compile(r"[^\W_]+")
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -50,7 +52,8 @@ class Index:
     A document is seen as windows of 2^(p+2) shingles, each beginning half a window after the one before, so that a passage of
     an item's length lies whole in one of them and its Jaccard similarity to that window stays above a
     bound whatever the document's length. Sketches are one-permutation MinHash: the bins of a hash's low bits, the least hash of each.
-    Window and item become a candidate pair where they share the least hash of any bin (bands of one row).
+    Window and item become a candidate pair where they share the least hash of any bin (bands of one row). Items of fewer than
+    DIRECT shingles have too few least hashes to rely on: all of their shingles are looked up directly.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
@@ -64,7 +67,7 @@ class Index:
                 bins = np.uint64(self.bins(p) - 1)
                 order = np.lexsort((s, s & bins))
                 least = s[order][np.r_[True, np.diff((s & bins)[order].astype(np.int64)) != 0]]
-                for value in least.tolist():
+                for value in (s if len(s) < DIRECT else least).tolist():
                     self.parts.setdefault(p, {}).setdefault(value, []).append(k)
         self.values = np.unique(np.array([v for of in self.parts.values() for v in of], np.uint64))
         self.bits = np.zeros(1 << 20, bool)
@@ -87,6 +90,9 @@ class Index:
                 items = of.get(value := int(h[i]))
                 if items is None or candidates.issuperset(items):
                     continue
+                if 1 << p < DIRECT:
+                    candidates.update(items)
+                    continue
                 for w in (i // stride, i // stride - 1):
                     window = h[max(0, w) * stride : (max(0, w) + 2) * stride]
                     if int(window[(window & bins) == (h[i] & bins)].min()) == value:
@@ -104,51 +110,75 @@ class Index:
         return sorted(found)
 
 
-def _indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes of the benchmark, each over at most about BLOCK_BYTES of text."""
-    ship(benchmark.sparkSession)
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The items with the block of each, and the number of blocks, each of at most about BLOCK_BYTES of text."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.where(block == b).distinct().collect()])) for b in range(blocks)]
+    blocks = max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // BLOCK_BYTES))
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), blocks
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The benchmark items that each document contains: doc_id, item_ids array<long>, shares array<double>.
+def _index(items: DataFrame, block: int):
+    """The broadcast index of one block."""
+    ship(items.sparkSession)
+    return items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.where(F.col("block") == block).select("item_id", "text").distinct().collect()]))
 
-    One row for each row of docs; takes doc_id, text and the benchmark's item_id, text, and ignores other
-    columns. A document contains an item if it holds at least 0.8 of the item's different runs of five words, anywhere. Null, empty and
-    shorter texts contain nothing, and items under five words are in nothing; repeated items are found once; an empty table on either side gives no hits.
-    The benchmark is the stated query set: it is compared with all documents in blocks of bounded size.
-    """
-    indexes = _indexes(benchmark)
+
+def _found(texts: DataFrame, index, names: str) -> DataFrame:
+    """The first column of texts, and the items and shares that one index finds in the second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                h = shingles(text.as_py(), words)
-                rows.append(sorted({hit for index in indexes for hit in index.value.find(h)}))
+            rows = [index.value.find(shingles(text.as_py(), words)) for text in batch.column(1)]
             best = [dict(sorted(r, key=lambda x: x[1])) for r in rows]
-            yield pa.record_batch([batch.column(0), pa.array([sorted(b) for b in best], pa.list_(pa.int64())), pa.array([[b[i] for i in sorted(b)] for b in best], pa.list_(pa.float64()))], names=["doc_id", "item_ids", "shares"])
+            yield pa.record_batch([batch.column(0), pa.array([sorted(b) for b in best], pa.list_(pa.int64())), pa.array([[b[i] for i in sorted(b)] for b in best], pa.list_(pa.float64()))], names=[names.split()[0], "item_ids", "shares"])
+
+    return texts.mapInArrow(run, f"{names}, item_ids array<long>, shares array<double>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_ids array<long>, shares array<double>")
+def _hits(docs: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
+    """(digest, item_ids, shares) of the texts that contain items, from one block after the other: only one index is held at a time."""
+    texts = docs.where("text is not null").select(F.md5("text").alias("digest"), "text")
+    found = None
+    for block in range(blocks):
+        index = _index(items, block)
+        part = saved(_found(texts, index, "digest string").where(F.size("item_ids") > 0).select("digest", F.explode(F.arrays_zip("item_ids", "shares")).alias("x")).distinct())
+        index.destroy()
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("digest", F.col("x.item_ids").alias("item")).agg(F.max("x.shares").alias("share"))
+    pairs = F.sort_array(F.collect_list(F.struct("item", "share")))
+    return saved(best.groupBy(F.col("digest").alias("of")).agg(pairs.alias("x")).select("of", F.col("x.item").alias("item_ids"), F.col("x.share").alias("shares")))
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The benchmark items that each document contains: doc_id, item_ids array<long>, shares array<double>.
+
+    One row for each row of docs; takes doc_id, text and the benchmark's item_id, text, and ignores other
+    columns. A document contains an item if it holds at least 0.8 of the item's different runs of five words, anywhere. Null, empty and
+    shorter texts contain nothing, and items under five words are in nothing; repeated items are found once; an empty table on either side gives no hits.
+    The benchmark is the stated query set: it is compared with all documents in blocks of bounded size, one after the other.
+    """
+    items, blocks = _blocks(benchmark)
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    if blocks == 1:
+        return _found(docs.select("doc_id", "text"), _index(items, 0), kind)
+    hits = _hits(docs, items, blocks)
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(hits.schema[c].dataType)).alias(c)
+    return docs.select("doc_id", F.md5("text").alias("digest")).join(hits, F.col("digest") == F.col("of"), "left").select("doc_id", none("item_ids"), none("shares"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that contain no item of the benchmark as contained_items() defines it."""
-    indexes, at = _indexes(benchmark), docs.columns.index("text")
+    items, blocks = _blocks(benchmark)
+    if blocks > 1:
+        of = unused(docs, "of")
+        return docs.join(_hits(docs, items, blocks).select(F.col("of").alias(of)), F.md5("text") == F.col(of), "left_anti")
+    index, at = _index(items, 0), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            keep = []
-            for text in batch.column(at):
-                h = shingles(text.as_py(), words)
-                keep.append(not any(index.value.find(h) for index in indexes))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([not index.value.find(shingles(text.as_py(), words)) for text in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
