@@ -1,10 +1,13 @@
 """LM scoring by a subword lattice: all segmentations of a text, weighted by unigram piece scores.
 
-The lattice of a word has an arc for each piece of an existing vocabulary that fits, and one arc over the whole word if the
-corpus has it. With c the word's training count, N all training tokens, V the different ones and D a discount, the
+The lattice of a word has an arc for each piece of an existing vocabulary that fits, weighted by that vocabulary's score, and one
+arc over the whole word if the corpus has it. With c the word's training count, N all training tokens, V the different ones and D a discount, the
 whole-word arc weighs (c - D) / N, and the paths of pieces share the D * V / N that this leaves:
 
-    p(word) = max(0, c - D) / N + D * V / N * sum over segmentations of the product of their pieces and of a word's end
+    p(word) = max(0, c - D) / N + D * V / N * sum over segmentations of the product of their pieces
+
+A word is a piece that begins with the blank mark and any number of pieces that don't; the mark that begins the next word ends it, so that these sums
+add up to one over all words without a further factor.
 """
 
 from __future__ import annotations
@@ -26,17 +29,15 @@ from .toxicity import held_out
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are scored one by one instead of in arrays; pieces are of up to LONGEST characters.
 WIDE, LONGEST = 48, 16
-#: Pseudo-counts per piece that the vocabulary's own scores weigh against the corpus.
-PRIOR = 0.1
-#: Expected counts are summed as integers of this unit, so that no order of summing shows.
-UNIT = 1 << 20
+#: Bytes of texts or of words that a task takes in about.
+TASK_BYTES = 64 << 20
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def vocabulary(path: str) -> tuple[list[str], np.ndarray, list[int]]:
     """Pieces, the log probabilities that their scores stand for, and the ids of the 256 byte pieces.
 
-    The file's scores are negative ranks; a rank r gets a probability in proportion to 1 / (r + 10). The last entry is the end of a word.
+    The file's scores are negative ranks; a rank r gets a probability in proportion to 1 / (r + 10).
     """
     import sentencepiece
 
@@ -50,8 +51,8 @@ def vocabulary(path: str) -> tuple[list[str], np.ndarray, list[int]]:
         special = model.is_byte(k) or model.is_control(k) or model.is_unknown(k)
         pieces.append("" if special else piece)
         ranks.append(count if special else -model.get_score(k))
-    p = 1 / (np.array([*ranks, count]) + 10)
-    return [*pieces, ""], np.log(p / p.sum()), octets
+    p = 1 / (np.array(ranks) + 10)
+    return pieces, np.log(p / p.sum()), octets
 
 
 class Lattice:
@@ -94,21 +95,36 @@ class Lattice:
     def spelled(self, c: str) -> list[int]:
         return [self.octets[b] for b in c.encode("utf-8", "surrogatepass")]
 
-    def score(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log of each word's probability over all its segmentations; with counts, also each piece's expected count."""
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log of each word's probability over all its segmentations."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        out, expected = np.zeros(len(words)), np.zeros(len(self.logs))
+        out = np.zeros(len(words))
         order = np.argsort(lengths, kind="stable")
-        for n in np.unique(lengths).tolist():
+        for n in np.unique(lengths[lengths <= WIDE]).tolist():
             at = order[np.searchsorted(lengths[order], n) : np.searchsorted(lengths[order], n, "right")]
-            for k in range(0, len(at), step := max(1, 200_000 // (n + 1)) if n <= WIDE else 1):
+            for k in range(0, len(at), step := max(1, 200_000 // (n + 1))):
                 some = at[k : k + step]
                 text = "".join("▁" + words[i] for i in some)
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n + 1)
-                out[some] = self._sum(codes, None if counts is None else counts[some], expected)
-        return out, expected
-
-    def _sum(self, codes: np.ndarray, counts: np.ndarray | None, expected: np.ndarray) -> np.ndarray:
+                out[some] = self._sum(codes)
+        for k in np.flatnonzero(lengths > WIDE).tolist():
+            out[k] = self._one(words[k])
+        return out
+
+    def _one(self, word: str) -> float:
+        """The same for one long word; all but the last LONGEST sums are forgotten."""
+        text, sums = "▁" + word, [0.0]
+        for j in range(1, len(text) + 1):
+            first = max(0, j - LONGEST)
+            arcs = [sums[i - j] + self.logs[k] for i in range(first, j) if (k := self.ids.get(text[i:j])) is not None]
+            if text[j - 1] not in self.ids:
+                arcs.append(sums[-1] + sum(self.logs[b] for b in self.spelled(text[j - 1])))
+            most = max(arcs)
+            sums.append(most + math.log(sum(math.exp(x - most) for x in arcs)))
+            del sums[:-LONGEST]
+        return float(sums[-1])
+
+    def _sum(self, codes: np.ndarray) -> np.ndarray:
         m, n = codes.shape
         letters, back = np.unique(codes, return_inverse=True)
         back = back.reshape(m, n)
@@ -117,7 +133,6 @@ class Lattice:
         single = np.array([self.logs[a] if a >= 0 else sum(self.logs[b] for b in spelled[k]) for k, a in enumerate(alone)])
         forward = np.full((n + 1, m), -np.inf)
         forward[0] = 0
-        arcs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
         code = codes.astype(np.uint64).T
         for i in range(n):
@@ -133,34 +148,9 @@ class Lattice:
                 if len(some):
                     k = k[some]
                     waiting[j + 1].append((some, forward[i, some] + self.logs[k]))
-                    if counts is not None:
-                        arcs.append((i, j + 1, some, k))
         for some, x in waiting[n]:
             forward[n, some] = np.logaddexp(forward[n, some], x)
-        if counts is not None:
-            self._expect(forward, arcs, back, single, alone, spelled, counts, expected)
-        return forward[n] + self.logs[-1]
-
-    def _expect(self, forward, arcs, back, single, alone, spelled, counts, expected) -> None:
-        n, m = len(forward) - 1, forward.shape[1]
-        backward = np.full((n + 1, m), -np.inf)
-        backward[n] = 0
-        arcs = iter(arcs[::-1])
-        arc = next(arcs, None)
-        for i in range(n - 1, -1, -1):
-            one = single[back[:, i]]
-            backward[i] = backward[i + 1] + one
-            share = counts * np.exp(forward[i] + one + backward[i + 1] - forward[n])
-            for k, x in enumerate(np.bincount(back[:, i], share, len(alone)).tolist()):
-                if x:
-                    for b in [alone[k]] if alone[k] >= 0 else spelled[k]:
-                        expected[b] += x
-            while arc is not None and arc[0] == i:
-                _, j, some, k = arc
-                x = self.logs[k] + backward[j, some]
-                np.add.at(expected, k, counts[some] * np.exp(forward[i, some] + x - forward[n, some]))
-                backward[i, some] = np.logaddexp(backward[i, some], x)
-                arc = next(arcs, None)
+        return forward[n]
 
 
 _BLOCK = "kind int, part int, block long, doc_id {kind}, held boolean, words binary, index binary, train binary"
@@ -219,46 +209,35 @@ def score_documents(docs: DataFrame, held: Column | None = None, path: str = VOC
 
     Takes doc_id and text; other columns are ignored. Tokens are words between ASCII white space, A-Z lower-cased, then one end.
     The base is a unigram of words with one added to each count. The model sums over all segmentations of the text into pieces of an existing
-    vocabulary, and over whole training words (see the module): pieces start with the probabilities of that vocabulary's
-    scores, which one step of expectation maximisation over all different training words turns into those of the corpus. As no arc crosses a blank, a text's
+    vocabulary, weighted by that vocabulary's scores, and over whole training words (see the module). As no arc crosses a blank, a text's
     probability is the product of its words', and each different word is summed once, in log space. A null or empty text is its end alone; repeated rows are scored and
-    counted each; without training rows the vocabulary's own scores hold; an empty table gives no rows.
+    counted each; without training rows the vocabulary's scores stand alone; an empty table gives no rows. Words and blocks of
+    texts are dealt to more tasks as the texts grow, so that a task takes in about TASK_BYTES.
     """
     spark = docs.sparkSession
     ship(spark)
     held = held_out(7, 2) if held is None else held
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces, prior, octets = vocabulary(path)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     coded = saved(_coded(docs.select("doc_id", "text", held.alias("held")), 4 * tasks))
     by_part = coded.where("kind = 0").select("part", "block", "words", "index", "train").repartition(tasks, "part").sortWithinPartitions("part", "block")
-    first = spark.sparkContext.broadcast((pieces, prior, octets))
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*first.value)
-        total, seen = np.zeros(len(prior)), np.zeros(4, np.int64)
-        for words, counts, _ in _parts(batches):
-            known = np.flatnonzero(counts)
-            total += lattice.score([words[k] for k in known], np.ones(len(known)))[1]
-            total[-1] += len(known)
-            seen += [counts.sum(), len(known), (counts == 1).sum(), (counts == 2).sum()]
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(np.r_[-1:-5:-1, used].astype(np.int64)), pa.array(np.r_[seen, np.rint(total[used] * UNIT).astype(np.int64)])], names=["piece", "n"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(4, np.int64)
+        for _, counts, _ in _parts(batches):
+            seen += [counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()]
+        yield pa.record_batch([pa.array([int(n)]) for n in seen], names=["tokens", "types", "once", "twice"])
 
     learned = coded.where("kind = 1 and not held").count()
-    sums = {r["piece"]: int(r["n"]) for r in by_part.mapInArrow(expect, "piece long, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()}
-    tokens, types, once, twice = (sums.pop(-k, 0) for k in range(1, 5))
-    tokens, types = tokens + learned, types + bool(learned)
+    sums = by_part.mapInArrow(tally, "tokens long, types long, once long, twice long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice")]).first()
+    tokens, types, once, twice = sums["tokens"] + learned, sums["types"] + bool(learned), sums["once"], sums["twice"]
     discount = once / (once + 2 * twice) if once and twice else 0.75
-    expected = np.zeros(len(prior))
-    for k, n in sums.items():
-        expected[k] = n / UNIT
-    theta = expected + PRIOR * len(prior) * np.exp(prior)
-    fitted = spark.sparkContext.broadcast((pieces, np.log(theta / theta.sum()), octets))
+    fitted = spark.sparkContext.broadcast(vocabulary(path))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*fitted.value)
         for words, counts, blocks in _parts(batches):
-            logs = lattice.score(words)[0]
+            logs = lattice.score(words)
             if tokens:
                 with np.errstate(divide="ignore"):
                     logs = np.logaddexp(np.log(np.maximum(0, counts - discount) / tokens), np.log(discount * types / tokens) + logs)
@@ -270,7 +249,7 @@ def score_documents(docs: DataFrame, held: Column | None = None, path: str = VOC
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = by_part.mapInArrow(score, "block long, index binary, values binary").withColumn("kind", F.lit(0))
     both = scored.unionByName(coded.where("kind = 1").select("kind", "block", "doc_id", "held", "index"), allowMissingColumns=True)
-    end = (math.log(learned / tokens) if learned else float(np.log(theta[-1] / theta.sum())), math.log10(learned + 1), math.log10(tokens + types + 1), int(learned > 0))
+    end = (math.log(learned / tokens) if learned else 0.0, math.log10(learned + 1), math.log10(tokens + types + 1), int(learned > 0))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, values = None, np.zeros((0, 3))
