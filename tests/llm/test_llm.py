@@ -58,8 +58,10 @@ def test_sharding_keeps_groups_and_numbers_slots(spark):
         assert r.size == len(texts[r.doc_id].encode()) + 1
     assert all(len(s) == 1 for s in where.values())
     assert sharding.shard_documents(documents(spark, [])).count() == 0
-    whole = sharding.sharded(documents(spark, ODD), 2)
-    assert whole.count() == len(ODD) and "text" in whole.columns and whole.select("shard", "slot").distinct().count() == len(ODD)
+    odd = documents(spark, ODD).withColumn("slot", F.lit("own")).withColumn("a.b", F.lit(1)).withColumn("_key", F.lit(1))
+    whole = sharding.sharded(odd, 2)  # shard and slot are taken
+    assert whole.columns == [*odd.columns, "shard_", "slot_"] and whole.where("shard = -1 and slot = 'own'").count() == len(ODD)
+    assert whole.select("shard_", "slot_").distinct().count() == len(ODD)
 
 
 def test_mixing_meets_targets(spark):
@@ -77,6 +79,13 @@ def test_mixing_meets_targets(spark):
     assert rows(out.orderBy("doc_id", "taken")) == rows(mixing.mix(df).orderBy("doc_id", "taken"))
     assert mixing.mix(documents(spark, [])).count() == 0 and mixing.mix(documents(spark, ODD[:3])).agg(F.sum("taken")).first()[0] == 0
     assert mixing.mixed(df).columns == df.columns
+    odd = df.withColumn("mix", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("plan", F.lit(3)).withColumn("_copies", F.lit(4))
+    whole = mixing.mixed(odd)
+    assert whole.columns == odd.columns
+    taken = lambda t: sorted(r["doc_id"] for r in t.collect())
+    assert taken(whole.where("doc_id >= 1000")) == sorted(i for r in out.where("doc_id >= 1000").collect() for i in [r["doc_id"]] * r["copies"])
+    wordless = documents(spark, [(i, " ", "a") for i in range(20)] + [(100, "a b c", "a"), (101, "c d", "b"), (102, None, "z")])
+    assert mixing.mixed(wordless).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2 and mixing.mixed(wordless).where("doc_id = 102").isEmpty()
 
 
 # Near duplicates.
@@ -230,6 +239,10 @@ def test_html_extraction():
     assert wrong / total < 0.02
     page = "<html><head><title>T</title><script>var a='<p>';</script></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One\n two &eacute;<p>Three <b>four</b>, five.</article><div class='comments'><p>Nice!</p></div><footer>&copy; x</footer>"
     assert html_extract.extract(page, model) == "A & B\nOne two é\nThree four, five."
+    for nest in ("div", "span", "b", "section"):  # however deep
+        for depth in (5, 450, 5000):
+            assert html_extract.extract(f"<body><nav><a href=/>Home</a></nav><article>{f'<{nest}>' * depth}<p>A deep story, told in full here.</p>{f'</{nest}>' * depth}<p>It goes on, and ends.</p></article>", model) == "A deep story, told in full here.\nIt goes on, and ends."
+    assert html_extract.extract("<article><p>Let <math><mi>x</mi></math> be a number, <object>or so</object> they say.</p></article>", model) == "Let x be a number, or so they say."
     for odd in (None, "", "<", "<p", "<!-- x", "<script>", "</p></div>", "<a href='x>y", "<div>" * 3000 + "x"):
         assert isinstance(html_extract.extract(odd, model), str)
 
@@ -285,6 +298,13 @@ def test_decontamination_against_brute_force(spark):
     out = {r["doc_id"]: r["item_ids"] for r in decontaminate.contained_items(documents(spark, made), bench).collect()}
     true = {i: sorted(k for k, s in sets.items() if len(s & grams(t)) >= 0.8 * len(s)) for i, t, _ in made}
     assert out == true and any(true.values())
+    whole, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, 3000  # several blocks
+    try:
+        again = decontaminate.contained_items(documents(spark, made), bench)
+        assert {r["doc_id"]: r["item_ids"] for r in again.collect()} == true
+        assert decontaminate.without_contaminated(documents(spark, made), bench).count() == sum(not true[i] for i, _, _ in made)
+    finally:
+        decontaminate.BLOCK_BYTES = whole
     kept = decontaminate.without_contaminated(documents(spark, made), bench)
     assert kept.count() == sum(not true[i] for i, _, _ in made) and kept.columns == documents(spark, []).columns
     assert decontaminate.contained_items(documents(spark, made), bench.limit(0)).where(F.size("item_ids") > 0).isEmpty()
@@ -303,12 +323,12 @@ def test_lattice_sums_all_segmentations():
                     total[j] += total[i] * math.exp(logs[k])
                 elif j == i + 1:
                     total[j] += total[i] * math.exp(sum(logs[b] for b in lattice.spelled(text[i])))
-        return math.log(total[-1]) + logs[-1]
+        return math.log(total[-1])
 
     words = ["the", "thereafter", "zq", "naïve", "漢字", "a" * 60, "thatthtion", "x"]
-    found, expected = lattice.score(words, np.ones(len(words)))
-    assert found == pytest.approx([slow(w) for w in words])
-    assert expected.sum() > len(words)
+    assert lattice.score(words) == pytest.approx([slow(w) for w in words])
+    assert [lattice._one(w) for w in words] == pytest.approx([slow(w) for w in words])
+    assert math.isfinite(lattice._one("x" * 100_000))
 
 
 def test_lm_scores(spark):
@@ -323,7 +343,18 @@ def test_lm_scores(spark):
             for w in [*split(t), "END"]:
                 counts[w] = counts.get(w, 0) + 1
     n, v = sum(counts.values()), len(counts)
+    once, twice = (sum(c == k for w, c in counts.items() if w != "END") for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    lattice = lm_score.Lattice(*lm_score.vocabulary(lm_score.VOCABULARY))
+
+    def model(word):
+        if word == "END":
+            return math.log10(counts["END"] / n)
+        pieces = discount * v / n * math.exp(lattice._one(word.decode()))
+        return math.log10(pieces + max(0, counts.get(word, 0) - discount) / n) if pieces or word in counts else math.log10(discount * v / n) + lattice._one(word.decode()) / math.log(10)
+
     for i, t, _ in made:
+        assert out[i]["score"] == pytest.approx(sum(map(model, [*split(t), "END"])))
         tokens = [*split(t), "END"]
         assert out[i]["n_tokens"] == len(tokens) and out[i]["n_known"] == sum(w in counts for w in tokens) and out[i]["train_tokens"] == n
         assert out[i]["base_score"] == pytest.approx(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in tokens))

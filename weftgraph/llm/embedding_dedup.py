@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import components, saved, ship
+from .common import components, saved, ship, whole_groups
 
 THRESHOLD = 0.98
 #: Neighbours in a list, trees of random hyperplanes for the first lists, sign bits of a tree's code, rows of a window.
 NEIGHBOURS, TREES, BITS, WINDOW = 6, 6, 24, 64
+#: A list full of links is saturated and doubles, to so many neighbours at most; beyond that complete() counts.
+MOST = 48
 #: Rounds of descent at most, and rows of one block when the lists of a component are completed.
 ROUNDS, BLOCK = 3, 256
-#: Vectors whose links are counted by brute force to measure recall, and the recall below which more trees are grown.
-AUDITED, RECALL = 2000, 0.999
+#: Vectors whose links are counted by brute force to measure recall, the recall below which more trees are grown, and that below which the result is refused.
+AUDITED, RECALL, REFUSED = 2000, 0.999, 0.9
 _LINKS = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
 
 
@@ -32,20 +34,12 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of the rows that share a key, from batches sorted by it."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None and rest.num_rows else table
-        if not table.num_rows:
-            continue
-        keys = table.column(key).to_numpy(zero_copy_only=False)
-        ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        begins = [0, *ends.tolist()]
-        for a, b in zip(begins, begins[1:], strict=False):
+    keys = lambda table: table.column(key).to_numpy(zero_copy_only=False)
+    for table in whole_groups(batches, lambda t: [keys(t)], 1 << 14):
+        values = keys(table)
+        ends = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), table.num_rows]
+        for a, b in zip(ends, ends[1:], strict=False):
             yield table.slice(a, b - a)
-        rest = table.slice(begins[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
 
 
 def _best(ids: np.ndarray, units: np.ndarray, most: int) -> pa.RecordBatch:
@@ -91,10 +85,15 @@ def first_lists(nodes: DataFrame, seed: int, tasks: int) -> DataFrame:
     return coded.repartitionByRange(tasks, "of", "code", "id").sortWithinPartitions("of", "code", "id").select("of", "id", "vector").mapInArrow(run, "id long, other long, cosine double")
 
 
-def nearest(found: DataFrame) -> DataFrame:
-    """The NEIGHBOURS nearest of each id, ties by id."""
-    order = W.Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    return found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= NEIGHBOURS).drop("_rank")
+def nearest(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The nearest of each id, ties by id: (id, other, cosine, most). A list holds `most`, NEIGHBOURS at first; one that is
+    full of links may miss others, so it doubles for the next round, up to MOST."""
+    by_id = W.Window.partitionBy("id")
+    rows = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"), F.max("most").alias("most"))
+    rows = rows.withColumn("most", F.coalesce(F.max("most").over(by_id), F.lit(NEIGHBOURS)))
+    rows = rows.withColumn("_rank", F.row_number().over(by_id.orderBy(F.desc("cosine"), "other"))).where(F.col("_rank") <= F.col("most"))
+    full = F.sum((F.col("cosine") >= threshold).cast("int")).over(by_id) >= F.col("most")
+    return rows.select("id", "other", "cosine", F.when(full, F.least(2 * F.col("most"), F.lit(MOST))).otherwise(F.col("most")).alias("most"))
 
 
 def descend(lists: DataFrame, nodes: DataFrame, tasks: int) -> DataFrame:
@@ -188,7 +187,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
     Takes vec_id, embedding (array<float>) and label; other columns are ignored. Vectors of different lengths, without label, id, with null or
     non-finite components or of length zero link with nothing. Repeated rows are separate vectors that link; an empty
     table gives no rows. Equal vectors are merged first. The rest is a neighbour graph refined by neighbours of neighbours
-    until no more links appear; its links' components are completed, and if the audited recall falls short, more trees are grown.
+    until no more links appear, with longer lists where they are saturated; its links' components are completed, and if the audited recall falls
+    short, more trees are grown; a recall under REFUSED raises an error.
     """
     ship(vectors.sparkSession)
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -200,11 +200,11 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
     lists, links = None, saved(nodes.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component_id")).limit(0))
     for seed in range(4):
         found = first_lists(nodes, seed, tasks)
-        lists = saved(nearest(found if lists is None else found.unionByName(lists)))
+        lists = saved(nearest(found.withColumn("most", F.lit(None).cast("int")) if lists is None else found.unionByName(lists, allowMissingColumns=True), threshold))
         edges = saved(lists.where(F.col("cosine") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b")))
         for _ in range(ROUNDS):
-            more = saved(descend(lists, nodes, tasks).unionByName(lists))
-            lists = saved(nearest(more))
+            more = saved(descend(lists, nodes, tasks).unionByName(lists, allowMissingColumns=True))
+            lists = saved(nearest(more, threshold))
             now = saved(more.where(F.col("cosine") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(edges).distinct())
             grown, edges = now.count() > edges.distinct().count(), now
             if not grown:
@@ -213,7 +213,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
         links = saved(complete(joined, nodes, threshold, tasks).join(joined, "id").select("id", "links", "component_id"))
         if (recall := audit(nodes, links, threshold)) >= RECALL:
             break
-        logging.getLogger(__name__).info("recall %.4f after %d trees", recall, (seed + 1) * TREES)
+        logging.getLogger(__name__).warning("recall %.4f after %d trees", recall, (seed + 1) * TREES)
+    if recall < REFUSED:
+        raise RuntimeError(f"only {recall:.4f} of the audited links were found")
     classes = saved(nodes.select("id", "n", "h", "g").join(links, "id", "left").select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")))
     linked = rows.where("valid").join(classes, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
