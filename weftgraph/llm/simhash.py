@@ -195,20 +195,29 @@ def linked(nodes: DataFrame, budget: int = 2, bits: int = 64, hot: int = HOT) ->
 #: Near copies: texts that agree in all ROWS least hashes of one of BANDS bands are compared. At a similarity of 0.8 a pair
 #: agrees in no band with a chance of (1 - 0.8 ** 4) ** 20, under 0.003%, and with less above.
 BANDS, ROWS = 20, 4
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pairs of a band are compared exactly where AGREE of SIGNS least hashes agree in a byte. At a similarity of 0.8 or more
+#: fewer agree with a chance of about one in a million.
+SIGNS, AGREE = 512, 367
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SIGNS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of the least hashes of a set that isn't empty, the hashes mixed anew for each."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+def least_hashes(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The least of a set's hashes that isn't empty, mixed anew for each of `count` places."""
+    least = np.full(count, ~np.uint64(0))
     for k in range(0, len(hashes), 2048):
-        mixed = (hashes[k : k + 2048, None] ^ _MIX[0]) * _MIX[1]
+        mixed = (hashes[k : k + 2048, None] ^ _MIX[0, :count]) * _MIX[1, :count]
         np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0), out=least)
+    return least
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's least hashes."""
+    least = least_hashes(hashes, BANDS * ROWS)
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
 def _shared_bands(nodes: DataFrame) -> DataFrame:
-    """(key, n, id) of the bands that several nodes (id, n, keys) share."""
+    """(key, band, n, id) of the bands that several nodes (id, n, keys) share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, lambda t: [t.column("key").to_numpy()]):
@@ -216,32 +225,38 @@ def _shared_bands(nodes: DataFrame) -> DataFrame:
             _, at, count = np.unique(key, return_inverse=True, return_counts=True)
             yield from rows.filter(pa.array(count[at] > 1)).combine_chunks().to_batches()
 
-    rows = nodes.select(F.explode("keys").alias("key"), "n", "id")
+    rows = nodes.select(F.posexplode("keys").alias("band", "key"), "n", "id").select("key", "band", "n", "id")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, n long, id long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, band int, n long, id long")
 
 
 def _candidates(bands: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, n, id, component) of one key, of different components and sizes that allow a similarity of 0.8,
-    that stand `low` to `high` - 1 places apart in the order of (n, id); a row of nulls where pairs may stand further apart."""
+    """Pairs (a, b) of rows (key, n, id, component, band, sign) of one key, of different components, of sizes and least hashes that allow a similarity of 0.8,
+    each under the first band that it shares, that stand `low` to `high` - 1 places apart in the order of (n, id); a row of nulls where pairs may stand further apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, lambda t: [t.column("key").to_numpy()]):
-            yield from propose(*(rows.column(c).to_numpy() for c in ("key", "n", "id", "component")))
+            signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            yield from propose(*(rows.column(c).to_numpy() for c in ("key", "n", "id", "component", "band")), signs)
 
-    def propose(key: np.ndarray, n: np.ndarray, ids: np.ndarray, top: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def propose(key: np.ndarray, n: np.ndarray, ids: np.ndarray, top: np.ndarray, band: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((ids, n, key))
-        key, n, ids, top = key[order], n[order], ids[order], top[order]
+        key, n, ids, top, band, sign = key[order], n[order], ids[order], top[order], band[order], sign[order]
+        keys, sign = np.ascontiguousarray(sign[:, : 8 * BANDS]).view(np.uint64), sign[:, 8 * BANDS :]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         # A key whose rows are in one component already has nothing left to compare.
         mixed = np.minimum.reduceat(top, first) != np.maximum.reduceat(top, first)
         live = np.repeat(mixed & (size > low), size)
-        key, n, ids, top = key[live], n[live], ids[live], top[live]
+        key, n, ids, top, band, sign, keys = key[live], n[live], ids[live], top[live], band[live], sign[live], keys[live]
         for d in range(low, min(high, len(key))):
-            ok = (key[d:] == key[:-d]) & (top[d:] != top[:-d]) & (5 * n[:-d] >= 4 * n[d:])
-            x, y = ids[:-d][ok], ids[d:][ok]
-            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            ok = np.flatnonzero((key[d:] == key[:-d]) & (top[d:] != top[:-d]) & (5 * n[:-d] >= 4 * n[d:]))
+            for k in range(0, len(ok), 1 << 14):
+                some = ok[k : k + (1 << 14)]
+                first = (keys[some] == keys[some + d]).argmax(1) == band[some]
+                some = some[first & ((sign[some] == sign[some + d]).sum(1) >= AGREE)]
+                x, y = ids[some], ids[some + d]
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
         if (mixed & (size > high)).any():
             yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
 
@@ -260,7 +275,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t.as_py(), 5)) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["id", "hashes"])
+            signs = [band_keys(f).tobytes() + least_hashes(f, SIGNS).astype(np.uint8).tobytes() for f in found]
+            yield pa.record_batch([batch.column(0), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["id", "hashes", "sign"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,8 +292,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     own = saved(rows.join(least, "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     bands = saved(_shared_bands(rows.join(least, "digest").where("doc_id = id").dropDuplicates(["id", "digest"]).select("id", "n", "keys")))
     wanted = bands.select(F.col("id").alias("doc_id")).distinct()
-    held = saved(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "id long, hashes array<long>"))
+    held = saved(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "id long, hashes array<long>, sign binary"))
     side = lambda id, name: held.select(F.col("id").alias(id), F.col("hashes").alias(name))
+    bands = saved(bands.join(held.select("id", "sign"), "id"))
     links, now, low, high = own, bands.withColumn("component", F.col("id")), 1, 4
     while True:
         proposed = saved(_candidates(now, low, high))
@@ -287,7 +304,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         if proposed.where("a is null").isEmpty():
             return links
         tops = saved(components(links).withColumnRenamed("id", "of"))
-        now = bands.join(tops, F.col("id") == F.col("of"), "left").select("key", "n", "id", F.coalesce("component_id", "id").alias("component"))
+        now = bands.join(tops, F.col("id") == F.col("of"), "left").select("key", "n", "id", F.coalesce("component_id", "id").alias("component"), "band", "sign")
         low, high = high, 8 * high
 
 
