@@ -232,10 +232,22 @@ def test_files(spark, tmp_path, edges):
         files.read_ratings(spark, "x", "other")
     storage.write_edges_text(edges, str(tmp_path / "edges"))
     assert sorted(map(tuple, storage.read_edges_text(spark, str(tmp_path / "edges")).collect())) == sorted(map(tuple, edges.collect()))
-    log = storage.MetricLogger(["step", "rmse"], ["%d", "%.2f"], str(tmp_path / "m.csv"))
-    log.log(step=1, rmse=0.987)
-    log.close()
-    assert (tmp_path / "m.csv").read_text().split() == ["step,rmse", "1,0.99"]
+    metrics = str(tmp_path / "metrics")
+    storage.append_metrics(spark, metrics, [{"rmse": 1.5}, {"rmse": 1.25, "loss": 2.0}])
+    storage.append_metrics(spark, metrics, [{"rmse": 1.0}])
+    assert sorted(tuple(r) for r in storage.read_metrics(spark, metrics).collect()) == [(0, "rmse", 1.5), (1, "loss", 2.0), (1, "rmse", 1.25), (2, "rmse", 1.0)]
+
+
+def test_negatives_of_nearly_full_graphs(spark):
+    full = [(s, d) for s in range(10) for d in range(10)]
+    edges = spark.createDataFrame([(s, d, 1) for s, d in full if (s, d) != (3, 7)], "src long, dst long, value int")
+    made = s.negatives_same_node(edges, 10, 10).collect()
+    assert len(made) == 99 and {(r["new_src"], r["new_dst"]) for r in made} == {(3, 7)}
+    drawn = s.negatives_all(edges, 10, 10, 30).collect()
+    assert len(drawn) == 30 and {(r["src"], r["dst"]) for r in drawn} == {(3, 7)}
+    every = spark.createDataFrame([(s, d, 1) for s, d in full], "src long, dst long, value int")
+    assert s.negatives_all(every, 10, 10, 5).count() == 0 and s.negatives_same_node(every, 10, 10).count() == 0
+
 
 
 def test_config(tmp_path):

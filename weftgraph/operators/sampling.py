@@ -84,7 +84,7 @@ def negatives(edges: DataFrame, targets: DataFrame, candidates: int, wanted: Col
 def negatives_same_node(edges: DataFrame, rows: int, cols: int, seed: int = 0) -> DataFrame:
     """One non-edge for each edge (src, dst, new_src, new_dst): a coin keeps its row or its column and the other end is drawn anew.
 
-    Eight draws an edge, the first that is no edge; an edge whose draws all fail takes draws over the whole graph.
+    Eight draws an edge, the first that is no edge; an edge whose draws all fail takes draws over the whole graph, until each edge has one.
     """
     coin = draw(f"{seed}/coin", "src", "dst", below=2)
     col, row = draw(f"{seed}/col", "src", "dst", "_try", below=cols), draw(f"{seed}/row", "src", "dst", "_try", below=rows)
@@ -97,16 +97,28 @@ def negatives_same_node(edges: DataFrame, rows: int, cols: int, seed: int = 0) -
         return fresh.groupBy("src", "dst").agg(F.min(F.struct("_try", "new_src", "new_dst")).alias("x")).select("src", "dst", "x.new_src", "x.new_dst")
 
     # In a sparse graph one draw serves nearly every edge; the others are drawn only for those it fails.
-    once = first_of(edges, 0, 0)
-    return once.unionByName(first_of(edges.join(once, ["src", "dst"], "left_anti"), 1, 23))
+    found = first_of(edges, 0, 0)
+    found = found.unionByName(first_of(edges.join(found, ["src", "dst"], "left_anti"), 1, 23))
+    low, high = 24, 192
+    while rows * cols > edges.count() and not (left := edges.join(found, ["src", "dst"], "left_anti")).isEmpty():
+        found = found.unionByName(first_of(left, low, high))
+        low, high = high + 1, 8 * high
+    return found
 
 
 def negatives_all(edges: DataFrame, rows: int, cols: int, n: int, seed: int = 0) -> DataFrame:
-    """n non-edges (draw, src, dst), uniform with replacement: the draws that hit an edge are dropped, which keeps the rest uniform."""
-    spare = F.sequence(F.lit(0).cast("long"), F.lit(2 * n + 63).cast("long"))
-    drawn = edges.sparkSession.range(1).select(F.explode(spare).alias("draw"))
-    drawn = drawn.select("draw", draw(f"{seed}/row", "draw", below=rows).alias("src"), draw(f"{seed}/col", "draw", below=cols).alias("dst"))
-    return drawn.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").orderBy("draw").limit(n).select("draw", "src", "dst")
+    """n non-edges (draw, src, dst), uniform with replacement: the draws that hit an edge are dropped, which keeps the rest uniform.
+
+    Where too few are left, more are drawn; a graph that lacks no edge has none to give.
+    """
+    draws = 2 * n + 64
+    while True:
+        drawn = edges.sparkSession.range(draws).select(F.col("id").alias("draw"))
+        drawn = drawn.select("draw", draw(f"{seed}/row", "draw", below=rows).alias("src"), draw(f"{seed}/col", "draw", below=cols).alias("dst"))
+        free = drawn.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+        if free.limit(n).count() == n or rows * cols <= edges.count():
+            return free.orderBy("draw").limit(n).select("draw", "src", "dst")
+        draws *= 4
 
 
 def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int = 0, back: float = 0.0) -> DataFrame:

@@ -1,10 +1,8 @@
-"""Graphs on disk: Parquet directories, text edges, coordinate lists; metric rows as CSV."""
+"""Graphs on disk: Parquet directories, text edges, coordinate lists; metric rows."""
 
 from __future__ import annotations
 
-import csv
-from pathlib import Path
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +32,18 @@ def read_edges_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("src long, dst long, value double").option("sep", "\t").csv(path)
 
 
-class MetricLogger:
-    """Appends rows of named, formatted metrics to a CSV file, each row at once."""
+def append_metrics(spark: SparkSession, path: str, rows: list[dict[str, float]]) -> None:
+    """Add metric rows to a Parquet table: one row for each value, with its step in the order of `rows` after the steps that are there.
 
-    def __init__(self, names: list[str], formats: list[str], path: str):
-        self._formats, self._file = formats, Path(path).open("w", newline="")
-        self._names, self._rows = names, csv.writer(self._file)
-        self._rows.writerow(names)
+    Names may differ from row to row; a table that isn't there yet begins with step 0.
+    """
+    try:
+        begin = (read_metrics(spark, path).agg(F.max("step")).first()[0] or 0) + 1
+    except AnalysisException:
+        begin = 0
+    values = [(begin + k, name, float(value)) for k, row in enumerate(rows) for name, value in row.items()]
+    spark.createDataFrame(values, "step long, metric string, value double").write.mode("append").parquet(path)
 
-    def log(self, **values) -> None:
-        self._rows.writerow([f % values[n] for n, f in zip(self._names, self._formats, strict=True)])
-        self._file.flush()
 
-    def close(self) -> None:
-        self._file.close()
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("step long, metric string, value double").parquet(path)
