@@ -103,8 +103,10 @@ def test_unique_and_merge(spark, users):
 
 def test_multi_link_split_keeps_empty_rows(edges, users, spark):
     types = g.link_types(edges)
-    split = g.multi_link_split(edges, users, types)
-    assert split.count() == 20 and split.agg(F.sum("n")).first()[0] == 6 and g.outside_domain(edges, types).isEmpty()
+    counts = g.link_degrees(edges, users, types)
+    assert counts.count() == 20 and counts.agg(F.sum("n")).first()[0] == 6 and g.outside_domain(edges, types).isEmpty()
+    same = edges.withColumn("value", F.lit(1.0))
+    assert sorted(map(tuple, g.multi_link_split(same, g.link_types(same)).collect())) == [(0, 10, 0, 1), (0, 10, 1, 2), (0, 10, 2, 4), (0, 20, 0, 1), (0, 20, 1, 4), (0, 40, 0, 2)]
     assert not g.outside_domain(edges, types.where("value < 5")).isEmpty()
 
 
@@ -214,7 +216,8 @@ def test_hetero_graph(edges, users, items, spark, tmp_path):
     assert less["user", "item"].count() == 5 == less["item", "user"].count() and graph["user", "item"].count() == 6
     assert graph.select("item", items.where("id = 2"))["user", "item"].count() == 2
     graph.save(str(tmp_path / "g"))
-    again = HeteroGraph.load(spark, str(tmp_path / "g"), ["user", "item"], [("user", "item")])
+    again = HeteroGraph.load(spark, str(tmp_path / "g"))
+    assert again.types() == ["item", "user"] and again.relations_of("item") == [("item", "user")]
     assert sorted(map(tuple, again["user", "item"].collect())) == sorted(map(tuple, edges.collect()))
     own = HeteroGraph({"user": users}, {("user", "user"): spark.createDataFrame([(10, 20, 1.0), (20, 10, 1.0)], "src long, dst long, value double")})
     assert own.remove_edges(("user", "user"), spark.createDataFrame([(10, 20)], "src long, dst long"))["user", "user"].count() == 0
@@ -292,3 +295,27 @@ def test_segment_ids_across_blocks(spark, monkeypatch):
     starts = spark.createDataFrame([(0, 0), (1, 2), (2, 2), (3, 9)], "seg long, start long")
     found = seg.segment_ids(starts, spark.range(11).withColumnRenamed("id", "pos"))
     assert [r["seg"] for r in found.orderBy("pos").collect()] == [0, 0, 2, 2, 2, 2, 2, 2, 2, 3, 3]
+
+
+def test_running_sums_over_many_parts(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000 - 10_000).alias("x"), F.lit(2).alias("n"))
+    found = g.running(rows, "x", F.col("n"), "had")
+    assert found.where(F.col("had") != 2 * (F.col("x") + 10_000)).isEmpty() and found.count() == 20_000
+    assert g.running(rows.limit(0), "x").isEmpty()
+    names = spark.createDataFrame([(c,) for c in "dbca"], "x string")
+    assert [r["x"] for r in g.running(names, "x").orderBy("ind").collect()] == list("abcd")
+
+
+def test_set_graph_grows_until_a_cap(spark):
+    nodes, edges = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, 2)], "a long, b long")
+    more = spark.createDataFrame([(0, 2, 1), (1, 3, 3), (2, 3, 1), (3, 1, 3), (4, 4, 2), (5, 5, 4)], "ord long, src long, dst long")
+    both = lambda **caps: [sorted(tuple(r) for r in df.collect()) for df in g.grown(nodes, edges, more, **caps)]
+    assert both() == [[(1,), (2,), (3,), (4,), (5,)], [(1, 2), (1, 3), (2, 4), (4, 5)]]
+    assert both(max_nodes=4) == [[(1,), (2,), (3,), (4,)], [(1, 2), (1, 3), (2, 4)]]
+    assert both(max_edges=2) == [[(1,), (2,), (3,)], [(1, 2), (1, 3)]]
+
+
+def test_short_numbers_are_those_of_c(spark):
+    values = [0.0, 1.0, -2.5, 1e-7, 0.0001, 0.00012345678, 123456.0, 1234567.0, 999999.5, 3.14159265, 1e20]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", storage.short_number(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in rows] == ["%g" % r["x"] for r in rows]

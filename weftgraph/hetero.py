@@ -56,12 +56,25 @@ class HeteroGraph:
         return graph.meta_matrix({p: self[p] for p in self.pairs()})
 
     def save(self, path: str) -> None:
+        """Parquet tables of all nodes and relations, and a small one that names them."""
+        names = [(kind, None) for kind in self.nodes] + list(self.relations)
         for kind, df in self.nodes.items():
             df.write.mode("overwrite").parquet(f"{path}/nodes/type={kind}")
         for (a, b), df in self.relations.items():
             df.write.mode("overwrite").parquet(f"{path}/relations/{a}__{b}")
+        spark = next(iter(self.nodes.values())).sparkSession
+        spark.createDataFrame(names, "src_type string, dst_type string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, kinds: list[str], relations: list[tuple[str, str]]) -> HeteroGraph:
-        nodes = {k: spark.read.parquet(f"{path}/nodes/type={k}") for k in kinds}
-        return cls(nodes, {(a, b): spark.read.parquet(f"{path}/relations/{a}__{b}") for a, b in relations})
+    def load(cls, spark: SparkSession, path: str) -> HeteroGraph:
+        """What save() wrote: its types and relations are read from the table of names, a row for each."""
+        names = [tuple(r) for r in spark.read.parquet(f"{path}/names").collect()]
+        nodes = {a: spark.read.parquet(f"{path}/nodes/type={a}") for a, b in names if b is None}
+        return cls(nodes, {(a, b): spark.read.parquet(f"{path}/relations/{a}__{b}") for a, b in names if b is not None})
+
+    def types(self) -> list[str]:
+        return sorted(self.nodes)
+
+    def relations_of(self, kind: str) -> list[tuple[str, str]]:
+        """The relations that leave a type, reverses included."""
+        return [p for p in self.pairs() if p[0] == kind]

@@ -41,9 +41,31 @@ def with_support(edges: DataFrame, symmetric: bool = True) -> DataFrame:
     return found.join(cols, "dst").withColumn("support", F.sqrt(1.0 / F.col("_r") / F.col("_c"))).drop("_r", "_c")
 
 
+#: Values that are looked at to cut an order into parts, and how many of them make a part. Parts hold about one in 128 rows of a large table.
+_LOOKED, _APART = 4096, 32
+
+
+def running(rows: DataFrame, order: str, amount: Column | None = None, name: str = "ind") -> DataFrame:
+    """Rows with the sum of `amount` (a row each if None) over all rows that stand before them in the order of a column of different values.
+
+    The column's values of least hash, a bounded number of them, cut the order into parts. Parts are summed first, then each is
+    ordered by itself, so that no task sees all rows. Where the cuts fall changes no result.
+    """
+    amount = F.lit(1) if amount is None else amount
+    looked = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(_LOOKED).collect())
+    cuts = [F.lit(c) for c in looked[_APART::_APART]]
+    marked = rows.withColumn("_part", F.size(F.filter(F.array(*cuts), lambda c: c <= F.col(order))) if cuts else F.lit(0))
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    sums = marked.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    # At most 128 rows are broadcast.
+    first = sums.select("_part", before(W.Window.orderBy("_part"), F.col("_sum")).alias("_first"))
+    within = marked.withColumn("_within", before(W.Window.partitionBy("_part").orderBy(order), amount))
+    return within.join(F.broadcast(first), "_part").select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_first") + F.col("_within")).alias(name))
+
+
 def index_of(nodes: DataFrame) -> DataFrame:
-    """(id, ind): positions in the order of ids, from 0. One global window over nodes."""
-    return nodes.select("id", (F.row_number().over(W.Window.orderBy("id")) - 1).cast("int").alias("ind"))
+    """(id, ind): positions in the order of ids, from 0."""
+    return running(nodes.select("id"), "id").select("id", F.col("ind").cast("int").alias("ind"))
 
 
 def id_to_index(ids: DataFrame, nodes: DataFrame, strict: bool = False) -> DataFrame:
@@ -83,10 +105,9 @@ def csr_to_coo(pointers: DataFrame) -> DataFrame:
 
 
 def coo_to_csr(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(row, begin, end) of each node's edges when edges stand by src; empty rows have begin = end. The window runs over nodes."""
+    """(row, begin, end) of each node's edges when edges stand by src; empty rows have begin = end."""
     counted = degrees(edges, nodes).select(F.col("id").alias("row"), F.col("degree").cast("long").alias("n"))
-    upto = F.sum("n").over(W.Window.orderBy("row").rowsBetween(W.Window.unboundedPreceding, 0))
-    return counted.withColumn("end", upto).select("row", (F.col("end") - F.col("n")).alias("begin"), "end")
+    return running(counted, "row", F.col("n"), "begin").select("row", "begin", (F.col("begin") + F.col("n")).alias("end"))
 
 
 def edge_list(edges: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame) -> DataFrame:
@@ -101,14 +122,17 @@ def graph_summary(edges: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame)
     return one(src_nodes, "n_rows").crossJoin(one(dst_nodes, "n_cols")).crossJoin(one(edges, "nnz"))
 
 
-def multi_link_split(edges: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:
-    """Edges of each node by link type: (link_id, id, n, members in order of dst); a pair without edges has 0.
+def multi_link_split(edges: DataFrame, types: DataFrame) -> DataFrame:
+    """Edges by link type: (link_id, src, pos, dst), pos the place from 0 among a node's edges of that type, in the order of dst."""
+    place = F.row_number().over(W.Window.partitionBy("link_id", "src").orderBy("dst")) - 1
+    return edges.join(F.broadcast(types), "value").withColumn("pos", place).select("link_id", "src", "pos", "dst")
 
-    Types are the few values of an edge; every node gets a row for each.
-    """
-    typed = edges.join(types, "value").groupBy("link_id", F.col("src").alias("id")).agg(F.count("*").alias("n"), F.sum("dst").alias("dst_sum"))
+
+def link_degrees(edges: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:
+    """(link_id, id, n): how many edges of each link type every node has, 0 included. Types are the few values of an edge."""
+    typed = edges.join(F.broadcast(types), "value").groupBy("link_id", F.col("src").alias("id")).agg(F.count("*").alias("n"))
     grid = nodes.select("id").crossJoin(F.broadcast(types.select("link_id")))
-    return grid.join(typed, ["link_id", "id"], "left").select("link_id", "id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("dst_sum", F.lit(0)).cast("long").alias("dst_sum"))
+    return grid.join(typed, ["link_id", "id"], "left").select("link_id", "id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def outside_domain(edges: DataFrame, types: DataFrame) -> DataFrame:
@@ -146,6 +170,41 @@ def is_submatrix(small: DataFrame, large: DataFrame) -> DataFrame:
     return small.join(large, same, "left_anti").agg(F.count("*").alias("n_missing")).select("n_missing", (F.col("n_missing") == 0).alias("is_submatrix"))
 
 
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: edges that only one of two graphs has, or has with another value, and whether the graphs are equal."""
+    lacks = lambda x, y: x.select("src", "dst", "value").exceptAll(y.select("src", "dst", "value"))
+    return lacks(a, b).unionAll(lacks(b, a)).agg(F.count("*").alias("n_different")).select("n_different", (F.col("n_different") == 0).alias("equal"))
+
+
+def from_coordinates(rows: DataFrame, src_nodes: DataFrame | None = None, dst_nodes: DataFrame | None = None) -> DataFrame:
+    """Edges from (src_ind, dst_ind, value), the positions of nodes in the order of their ids; without nodes the positions are the ids. Undoes edge_list()."""
+    for side, nodes in (("src", src_nodes), ("dst", dst_nodes)):
+        if nodes is None:
+            rows = rows.withColumn(side, F.col(f"{side}_ind").cast("long"))
+        else:
+            rows = rows.join(index_of(nodes).select(F.col("id").alias(side), F.col("ind").alias(f"{side}_ind")), f"{side}_ind")
+    return rows.select("src", "dst", "value")
+
+
+def grown(nodes: DataFrame, edges: DataFrame, more: DataFrame, max_nodes: int | None = None, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an undirected set graph after insertions `more` (ord, src, dst) in the order of ord.
+
+    A pair counts once, whichever way round and however often it comes; a self loop adds its node only. Insertion stops before the
+    first row that would pass a cap. nodes: (id), edges: (a, b) with a < b.
+    """
+    pair = lambda c: c.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "ord")
+    ends = more.select(F.col("src").alias("id"), "ord").unionAll(more.select(F.col("dst").alias("id"), "ord"))
+    new_nodes = ends.groupBy("id").agg(F.min("ord").alias("ord")).join(nodes.select("id"), "id", "left_anti")
+    new_edges = pair(more.where("src <> dst")).groupBy("a", "b").agg(F.min("ord").alias("ord")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    for new, old, most in ((new_nodes, nodes, max_nodes), (new_edges, edges, max_edges)):
+        if most is not None:
+            at = running(new.groupBy("ord").agg(F.count("*").alias("_n")), "ord", F.col("_n"), "_had")
+            over = at.where(F.col("_had") + F.col("_n") > most - old.count()).agg(F.min("ord")).first()[0]
+            if over is not None:
+                new_nodes, new_edges = new_nodes.where(F.col("ord") < over), new_edges.where(F.col("ord") < over)
+    return nodes.select("id").unionAll(new_nodes.select("id")), edges.select("a", "b").unionAll(new_edges.select("a", "b"))
+
+
 def neighbors(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges that leave the given ids."""
     return edges.join(ids.select(F.col("id").alias("src")).distinct(), "src")
@@ -175,10 +234,10 @@ def unique_counts(values: DataFrame, column: str) -> DataFrame:
 def unique_inverse(values: DataFrame, order: str, column: str) -> DataFrame:
     """(ord, value, place): each input's place among the different values, numbered by first appearance.
 
-    The window runs over the different values; inputs join it.
+    `order` tells all inputs apart. The different values are numbered, and inputs join them.
     """
-    first = values.groupBy(column).agg(F.min(order).alias("_first"))
-    placed = first.select(column, (F.row_number().over(W.Window.orderBy("_first")) - 1).alias("place"))
+    first = values.groupBy(column).agg(F.min(order).alias("_at"))
+    placed = running(first, "_at", name="place").select(column, F.col("place").cast("int").alias("place"))
     return values.join(placed, column).select(F.col(order).alias("ord"), F.col(column).alias("value"), "place")
 
 

@@ -81,6 +81,12 @@ def negatives(edges: DataFrame, targets: DataFrame, candidates: int, wanted: Col
     return every.withColumn("_rank", rank).join(need.select("id", "_want"), "id").where("_rank <= _want").select("id", "other")
 
 
+def labelled_pairs(edges: DataFrame, targets: DataFrame, candidates: int, wanted: Column, seed: int = 0) -> DataFrame:
+    """(id, other, label): each target's edges with label 1 and its negatives() with label 0."""
+    known = edges.join(targets.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(1).alias("label"))
+    return known.unionByName(negatives(edges, targets, candidates, wanted, seed).withColumn("label", F.lit(0)))
+
+
 def negatives_same_node(edges: DataFrame, rows: int, cols: int, seed: int = 0) -> DataFrame:
     """One non-edge for each edge (src, dst, new_src, new_dst): a coin keeps its row or its column and the other end is drawn anew.
 
@@ -124,22 +130,21 @@ def negatives_all(edges: DataFrame, rows: int, cols: int, n: int, seed: int = 0)
 def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int = 0, back: float = 0.0) -> DataFrame:
     """(walk, step, node): walks along edges from (walk, node); with the probability `back` a step returns to the start.
 
-    Each node's neighbours are numbered once; a step is one join of all walks on the neighbour number drawn. A walk ends at
-    a node without neighbours.
+    Each node's neighbours are numbered once; a step is one join of all walks on the neighbour number drawn, and a walk carries
+    its path. It ends at a node without neighbours.
     """
     numbered = edges.select("src", "dst", (F.row_number().over(W.Window.partitionBy("src").orderBy("dst")) - 1).alias("_at"))
     counted = edges.groupBy("src").agg(F.count("*").alias("_n"))
-    now = starts.select("walk", F.col("node").alias("_start"), "node", F.lit(0).alias("step"))
-    path = now
+    now = starts.select("walk", F.col("node").alias("_start"), "node", F.array("node").alias("_path"))
     for step in range(1, length + 1):
-        moved = now.join(counted.withColumnRenamed("src", "node"), "node").withColumn("_s", F.lit(step))
+        moved = now.join(counted.withColumnRenamed("src", "node"), "node", "left").withColumn("_s", F.lit(step))
         pick = draw(f"{seed}/move", "walk", "_s", below=F.col("_n"))
-        home = draw(f"{seed}/back", "walk", "_s", below=1_000_000) < int(back * 1_000_000)
-        moved = moved.select("walk", "_start", "node", home.alias("_home"), pick.alias("_at"))
-        gone = moved.where("not _home").join(numbered.withColumnRenamed("src", "node"), ["node", "_at"]).select("walk", "_start", F.col("dst").alias("node"))
-        now = gone.unionByName(moved.where("_home").select("walk", "_start", F.col("_start").alias("node"))).withColumn("step", F.lit(step))
-        path = path.unionByName(now)
-    return path.select("walk", "step", "node")
+        home = F.col("_n").isNotNull() & (draw(f"{seed}/back", "walk", "_s", below=1_000_000) < int(back * 1_000_000))
+        moved = moved.select("walk", "_start", "node", "_path", home.alias("_home"), F.when(~home, pick).alias("_at"))
+        to = F.when(F.col("_home"), F.col("_start")).otherwise(F.col("dst"))
+        moved = moved.join(numbered.withColumnRenamed("src", "node"), ["node", "_at"], "left").withColumn("_to", to)
+        now = moved.select("walk", "_start", F.coalesce("_to", "node").alias("node"), F.when(F.col("_to").isNull(), F.col("_path")).otherwise(F.array_append("_path", F.col("_to"))).alias("_path"))
+    return now.select("walk", F.posexplode("_path").alias("step", "node"))
 
 
 def capped_nodes(visits: DataFrame, most: int) -> DataFrame:

@@ -141,14 +141,25 @@ def khop_plan(relations: dict[str, DataFrame], seeds: dict[str, DataFrame], othe
     return plan
 
 
-def run_plan(plan: list[dict[str, Hop]], layer: dict[str, Aggregator], other: dict[str, str], vectors: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Forward through a plan, deepest hop first; one aggregator a type serves all hops (recurrent stacking)."""
+def run_plan(plan: list[dict[str, Hop]], layer: dict[str, Aggregator] | list[dict[str, Aggregator]], other: dict[str, str], vectors: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Forward through a plan, deepest hop first. One aggregator a type serves all hops (recurrent stacking), or a list has those of each hop from the top down."""
     state = vectors
-    for level in reversed(plan):
-        state = {kind: layer[kind].apply(hop.edges.withColumn("link_id", F.lit(0)), state[other[kind]], hop.ids) for kind, hop in level.items()} | {k: v for k, v in state.items() if k not in level}
+    for depth in reversed(range(len(plan))):
+        own = layer[depth] if isinstance(layer, list) else layer
+        state = {kind: own[kind].apply(hop.edges.withColumn("link_id", F.lit(0)), state[other[kind]], hop.ids) for kind, hop in plan[depth].items()} | {k: v for k, v in state.items() if k not in plan[depth]}
     return state
 
 
+def dropout(vector: str, key: str, rate: float, seed: int | str) -> Column:
+    """For training: each component is 0 with the chance `rate`, others grow by 1 / (1 - rate); the same for the same seed and key."""
+
+    def kept(v: Column, i: Column) -> Column:
+        number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string"))), 1, 12), 16, 10).cast("long")
+        return F.when(number % 1_000_000 < round(rate * 1_000_000), 0.0).otherwise(v.cast("double") / (1 - rate))
+
+    return F.transform(vector, kept)
+
+
 def predict(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Inner products of pairs' vectors, as predicted ratings."""
     return inner_product(pairs, left, right)

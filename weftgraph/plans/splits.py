@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..operators.graph import induced, remove_edges
+from ..operators.graph import induced, remove_edges, running
 from ..operators.sampling import rank_key
 
 
-def ranked(rows: DataFrame, seed: int | str, *keys: str, ways: int = 256) -> DataFrame:
+def ranked(rows: DataFrame, seed: int | str, *keys: str) -> DataFrame:
     """Rows with their rank from 1 in the order of a digest.
 
-    The digest's first two digits deal rows into 256 ordered parts that are ranked side by side; the parts' counts give their first ranks.
+    The digest's first four digits deal rows into 65,536 ordered parts that are ranked side by side; the parts' counts give their first ranks.
     """
-    marked = rows.withColumn("_key", rank_key(seed, *keys)).withColumn("_part", F.substring("_key", 1, 2))
+    marked = rows.withColumn("_key", rank_key(seed, *keys)).withColumn("_part", F.substring("_key", 1, 4))
     counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
     first = counts.select("_part", F.coalesce(F.sum("_n").over(W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
     within = F.row_number().over(W.Window.partitionBy("_part").orderBy("_key", *keys))
-    # At most 256 rows are broadcast.
+    # At most 65,536 rows are broadcast.
     return marked.withColumn("_within", within).join(F.broadcast(first), "_part").withColumn("rank", F.col("_first") + F.col("_within")).drop("_key", "_part", "_within", "_first")
 
 
@@ -63,9 +63,9 @@ def batches(pairs: DataFrame, size: int, sequential: bool = True, seed: int = 0,
     if size < 0:
         return pairs.withColumn("batch", F.lit(0).cast("long"))
     if sequential:
-        # First places come from a window over nodes; pairs are ranked within their src.
+        # First places come from sums over nodes; pairs are ranked within their src.
         counts = pairs.groupBy("src").agg(F.count("*").alias("_n"))
-        first = counts.select("src", F.coalesce(F.sum("_n").over(W.Window.orderBy("src").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+        first = running(counts, "src", F.col("_n"), "_first").drop("_n")
         place = F.col("_first") + F.row_number().over(W.Window.partitionBy("src").orderBy("dst"))
         return pairs.join(first, "src").withColumn("batch", F.floor((place - 1) / size)).drop("_first")
     return ranked(pairs, f"{seed}/{epoch}", "src", "dst").withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("rank")

@@ -120,14 +120,14 @@ def _(spark, d):
     return g.transpose(quantities(spark, d))
 
 
-@query("row_degrees", f"with {R} select c_custkey id, cast(count(r.src) as int) degree from customer left join (select * from r where value = 5) r on src = c_custkey group by 1")
+@query("row_degrees", f"with {R} select c_custkey id, cast(count(r.src) as int) degree from customer left join r on src = c_custkey group by 1")
 def _(spark, d):
-    return g.degrees(ratings(spark, d).where("value = 5"), customers(spark, d))
+    return g.degrees(ratings(spark, d), customers(spark, d))
 
 
-@query("col_degrees", f"with {R} select p_partkey id, cast(count(r.dst) as int) degree from part left join (select * from r where value = 5) r on dst = p_partkey group by 1")
+@query("col_degrees", f"with {R} select p_partkey id, cast(count(r.dst) as int) degree from part left join r on dst = p_partkey group by 1")
 def _(spark, d):
-    return g.degrees(ratings(spark, d).where("value = 5"), parts(spark, d), "dst")
+    return g.degrees(ratings(spark, d), parts(spark, d), "dst")
 
 
 @query("support_symm", f"with {R} {SUP} select src, dst, round(support, 6) support from s")
@@ -163,9 +163,7 @@ _SEL = ", a as (select c_custkey id, cast(row_number() over (order by c_custkey
 
 
 def _chosen(ids: DataFrame) -> DataFrame:
-    from pyspark.sql import window as W
-
-    return ids.select("id", (F.row_number().over(W.Window.orderBy(F.desc("id"))) - 1).cast("int").alias("ord"))
+    return g.running(ids.select("id", (-F.col("id")).alias("_by")), "_by", name="ord").select("id", F.col("ord").cast("int"))
 
 
 @query("submat_rows", f"with {R} {_SEL} select src, dst, value, ord src_ind from r join a on src = id")
@@ -218,11 +216,25 @@ def _(spark, d):
     return g.graph_summary(ratings(spark, d), customers(spark, d), parts(spark, d))
 
 
-@query("multi_link_split", f"with {R}, t as (select cast(row_number() over (order by value) - 1 as int) link_id, value from (select distinct value from r)) select link_id, c_custkey id, count(src) n, coalesce(sum(dst), 0)::bigint dst_sum from customer cross join t left join r on src = c_custkey and r.value = t.value group by 1, 2")
+_TYPES = ", t as (select cast(row_number() over (order by value) - 1 as int) link_id, value from (select distinct value from r))"
+
+
+@query("multi_link_split", f"with {R} {_TYPES} select link_id, src, cast(row_number() over (partition by link_id, src order by dst) - 1 as int) pos, dst from r join t using (value)")
 def _(spark, d):
     rated = ratings(spark, d)
-    types = g.link_types(rated).select(F.col("link_id").cast("int"), "value")
-    return g.multi_link_split(rated, customers(spark, d), types)
+    return g.multi_link_split(rated, g.link_types(rated).select(F.col("link_id").cast("int"), "value"))
+
+
+@query("multi_link_degrees", f"with {R} {_TYPES} select link_id, c_custkey id, count(src) n from customer cross join t left join r on src = c_custkey and r.value = t.value group by 1, 2")
+def _(spark, d):
+    rated = ratings(spark, d)
+    return g.link_degrees(rated, customers(spark, d), g.link_types(rated).select(F.col("link_id").cast("int"), "value"))
+
+
+@query("sample_neighbors_links", f"with {R} {_TYPES}, k as (select src, dst, value from (select *, {RANK.format(14)} k from r) where k <= 5) select link_id, src, cast(row_number() over (partition by link_id, src order by dst) - 1 as int) pos, dst from k join t using (value)")
+def _(spark, d):
+    rated = ratings(spark, d)
+    return g.multi_link_split(s.sample_neighbors(rated, 5, 14), g.link_types(rated).select(F.col("link_id").cast("int"), "value"))
 
 
 @query("multi_link_structure", f"with {R} select count(distinct value) n_link_types from r")
@@ -259,20 +271,31 @@ def _(spark, d):
     return graph.remove_edges(("item", "user"), g.transpose(_asked(spark, d)))["item", "user"].select("src", "dst", "value")
 
 
-@query("drop_unseen_nodes", f"with {R} select p_partkey id from part where p_partkey in (select dst from r where value = 1)")
+@query("drop_unseen_nodes", f"with {R} select p_partkey id from part where p_partkey in (select dst from r)")
 def _(spark, d):
-    return g.drop_unseen(parts(spark, d), ratings(spark, d).where("value = 1"), "dst")
+    return g.drop_unseen(parts(spark, d), ratings(spark, d), "dst")
 
 
-@query("densify_ids", f"with {R}, f as (select * from r where value = 1), u as (select src, cast(row_number() over (order by src) - 1 as int) s from (select distinct src from f)), i as (select dst, cast(row_number() over (order by dst) - 1 as int) t from (select distinct dst from f)) select s src, t dst, value from f join u using (src) join i using (dst)")
+@query("densify_ids", f"with {R}, f as (select dst src, src dst, value from r), u as (select src, cast(row_number() over (order by src) - 1 as int) s from (select distinct src from f)), i as (select dst, cast(row_number() over (order by dst) - 1 as int) t from (select distinct dst from f)) select s src, t dst, value from f join u using (src) join i using (dst)")
 def _(spark, d):
-    return g.densify(ratings(spark, d).where("value = 1"))
+    return g.densify(g.transpose(ratings(spark, d)))
 
 
-@query("is_submatrix", f"with {R} select count(*) n_missing, count(*) = 0 is_submatrix from (select * from r where value >= 4 except select src, dst, value from r where src % 2 = 0 or value >= 4)")
+@query("is_submatrix", f"with {R} {_ASK} select count(*) n_missing, count(*) = 0 is_submatrix from r where exists (select 1 from ask where ask.src = r.src and ask.dst = r.dst)")
 def _(spark, d):
     rated = ratings(spark, d)
-    return g.is_submatrix(rated.where("value >= 4"), rated)
+    return g.is_submatrix(rated, g.remove_edges(rated, _asked(spark, d)))
+
+
+@query("check_equal", f"with {R}, x as (select src, dst, min(cast(ceil(q / 10) as int)) as value from raw group by src, dst) select 2 * count(*) n_different, count(*) = 0 equal from r join x using (src, dst) where r.value <> x.value")
+def _(spark, d):
+    least = g.build_graph(raw(spark, d).select("src", "dst", F.ceil(F.col("q") / 10).cast("int").alias("value")), "min")
+    return g.differences(ratings(spark, d), least)
+
+
+@query("from_coordinates", f"with {R} select src, dst, value from r")
+def _(spark, d):
+    return g.from_coordinates(g.edge_list(ratings(spark, d), customers(spark, d), parts(spark, d)), customers(spark, d), parts(spark, d))
 
 
 @query("neighbors", f"with {R} select src, dst, value from r where src in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
@@ -280,10 +303,10 @@ def _(spark, d):
     return g.neighbors(ratings(spark, d), builders(spark, d)).select("src", "dst", "value")
 
 
-@query("check_consistency", f"with {R} select count(*) n_mismatch from r where false")
+@query("check_consistency", f"with {R}, x as (select src, dst, min(cast(ceil(q / 10) as int)) as value from raw group by src, dst) select count(*) n_mismatch from r join x using (src, dst) where r.value <> x.value")
 def _(spark, d):
-    rated = ratings(spark, d)
-    return g.mismatches(rated, g.transpose(rated))
+    least = g.build_graph(raw(spark, d).select("src", "dst", F.ceil(F.col("q") / 10).cast("int").alias("value")), "min")
+    return g.mismatches(ratings(spark, d), g.transpose(least))
 
 
 @query("check_duplicates", "select src, dst, count(*) n from (select o_custkey src, l_partkey dst from lineitem join orders on l_orderkey = o_orderkey) group by 1, 2 having count(*) > 1")
@@ -509,6 +532,13 @@ def _(spark, d):
     return s.negatives(rated, targets, parts(spark, d).count(), F.col("degree") * 0.5, 5)
 
 
+@query("labelled_pairs", f"with {R} {_NEG.replace('select id, other from (select *, row', 'select id, other, 0 as label from (select *, row')} union all select src, dst, 1 from r")
+def _(spark, d):
+    rated = ratings(spark, d)
+    targets = rated.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    return s.labelled_pairs(rated, targets, parts(spark, d).count(), F.col("degree") * 0.5, 5)
+
+
 _SAME = f""", nn as (select (select count(*) from customer) nr, (select count(*) from part) nc),
 tries as (select src, dst, {DRAW.format("'6/coin', src, dst", 2)} coin, t, {DRAW.format("'6/row', src, dst, t", '(select nr from nn)')} rr, {DRAW.format("'6/col', src, dst, t", '(select nc from nn)')} cc from r, range(24) a(t)),
 drawn as (select src, dst, t, case when t >= 8 or coin = 1 then rr else src end new_src, case when t >= 8 or coin = 0 then cc else dst end new_dst from tries),
@@ -567,11 +597,14 @@ def _(spark, d):
     return splits.split_summary(splits.transductive(ratings(spark, d), 0.1, 0.1, 9))
 
 
-@query("split_graphs", f"with {_T} select 'test' graph, count(*) n, sum(value)::bigint total from sp where split <> 'test' union all select 'train', count(*), sum(value)::bigint from sp where split = 'train'")
+@query("split_graphs", f"with {_T} select g.graph, count(*) n, sum(value)::bigint total from sp join (values ('all', 'test'), ('all', 'valid'), ('all', 'train'), ('test', 'valid'), ('test', 'train'), ('valid', 'train'), ('train', 'train')) g(graph, split) using (split) group by 1")
 def _(spark, d):
     made = splits.split_graphs(splits.transductive(ratings(spark, d), 0.1, 0.1, 9))
-    one = lambda name: made[name].agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total")).select(F.lit(name).alias("graph"), "n", "total")
-    return one("test").unionByName(one("train"))
+    rows = None
+    for name, edges in made.items():
+        one = edges.agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total")).select(F.lit(name).alias("graph"), "n", "total")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 _IND = R + ", dg as (select c_custkey id, cast(count(src) as int) degree from customer left join r on src = c_custkey group by 1), many as (select id, row_number() over (order by md5(concat_ws(':', 10, id)), id) k from dg where degree > 10), nd as (select dg.id, degree, coalesce(k <= (select ceil(count(*) * 20 / 100.0) from dg), false) held from dg left join many on dg.id = many.id)"
@@ -589,6 +622,16 @@ def _(spark, d):
     return splits.inductive_edges(rated, nodes, 90, 10).select("src", "dst", "value")
 
 
+@query("inductive_graphs", f"with {_IND}, hv as (select id, row_number() over (order by md5(concat_ws(':', 15, id)), id) k from nd where not held and degree > 10), n2 as (select nd.id, degree, coalesce(k <= (select ceil(count(*) * 20 / 100.0) from nd where not held), false) held from nd left join hv on nd.id = hv.id where not nd.held), vp as (select src, dst from (select r.*, {RANK.format(15)} k, floor(degree * 90 / 100.0) most from r join n2 on src = id where held) where k <= most) select 'valid' graph, src, dst, value from r where src in (select id from n2) and (src, dst) not in (select src, dst from vp) union all select 'train', src, dst, value from r where src in (select id from n2 where not held)")
+def _(spark, d):
+    rated = ratings(spark, d)
+    seen = splits.inductive_nodes(g.degrees(rated, customers(spark, d)), 20, 10).where("not held").drop("held")
+    again = splits.inductive_nodes(seen, 20, 15)
+    made = splits.inductive_graphs(rated, again.where("not held"), again.where("held"), splits.inductive_edges(rated, again, 90, 15))
+    valid, train = (made[k].select(F.lit(k).alias("graph"), "src", "dst", "value") for k in ("valid", "train"))
+    return valid.unionByName(train)
+
+
 @query("rating_batches", f"with {R}, k as (select src, dst, row_number() over (order by md5(concat_ws(':', '11/0', src, dst)), src, dst) k from r) select src, dst, floor((k - 1) / 1000.0)::bigint batch from k")
 def _(spark, d):
     return splits.batches(ratings(spark, d), 1000, False, 11).select("src", "dst", "batch")
@@ -840,11 +883,26 @@ def _(spark, d):
     return rows
 
 
-@query("heter_sage")
+_SAGE = _PLAN.replace(R, R + SUP) + f""", e0s as (select e0.src, e0.dst, support from e0 join s on s.src = e0.src and s.dst = e0.dst),
+e1s as (select e1i.src, e1i.dst, support from e1i join s on s.src = e1i.dst and s.dst = e1i.src),
+x1 as (select src, i, sum(v) v from (select e1s.src, support * unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 i from e1s join embeddings on vec_id = e1s.dst % (select count(*) from embeddings)) group by 1, 2),
+h1 as (select src id, o, sum(v * {_W.format('0')}) v from x1, range(4) b(o) group by 1, 2),
+l1 as (select id, o, case when v > 0 then v else 0.1 * v end v from h1),
+x0 as (select e0s.src, o i, sum(support * v) v from e0s join l1 on id = dst group by 1, 2),
+h0 as (select src, o, sum(v * case when i = o then 1.0 else 0.25 end) v from x0, range(4) b(o) group by 1, 2)
+select id, a.o i, round(case when coalesce(v, 0) > 0 then v else 0.1 * coalesce(v, 0) end, 4) + 0.0 as value from (s0 cross join range(4) a(o)) left join h0 on src = id and h0.o = a.o"""
+
+
+@query("heter_sage", f"with {_SAGE}")
 def _(spark, d):
     n = n_vectors(spark, d)
-    base = lambda ids: ids.select("id", (F.col("id") % n).alias("_v")).join(vectors(spark, d).withColumnRenamed("id", "_v"), "_v").select("id", F.slice("vector", 1, UNITS).cast("array<double>").alias("vector"))
+    base = lambda ids: ids.select("id", (F.col("id") % n).alias("_v")).join(vectors(spark, d).withColumnRenamed("id", "_v"), "_v").select("id", F.col("vector").cast("array<double>").alias("vector"))
     square = network.Dense([[1.0 if i == o else 0.25 for i in range(UNITS)] for o in range(UNITS)])
-    layer = {k: network.Aggregator([square]) for k in ("user", "item")}
-    out = network.run_plan(_plan(spark, d), layer, {"user": "item", "item": "user"}, {"user": base(customers(spark, d)), "item": base(parts(spark, d))})
+    layers = [{k: network.Aggregator([m]) for k in ("user", "item")} for m in (square, network.Dense(_weights(0).weight))]
+    out = network.run_plan(_plan(spark, d), layers, {"user": "item", "item": "user"}, {"user": base(customers(spark, d)), "item": base(parts(spark, d))})
     return _long(out["user"])
+
+
+@query("dropout", f"select vec_id id, i, round(case when {DRAW.format("'16', vec_id, i", 1000000)} < 300000 then 0 else embedding[(i + 1)::int]::double / 0.7 end, 4) + 0.0 as value from embeddings, range(64) a(i)")
+def _(spark, d):
+    return _long(vectors(spark, d).select("id", network.dropout("vector", "id", 0.3, 16).alias("vector")))

@@ -18,9 +18,15 @@ def load_relation(spark: SparkSession, path: str, typed: bool = False) -> dict[s
 
 
 def short_number(x: Column) -> Column:
-    """A number as C's %g writes it where six digits are enough: without trailing zeros."""
-    fixed = F.format_string("%.6f", x.cast("double"))
-    return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """A number as C's %g writes it: six significant digits without trailing zeros, with an exponent below 1e-4 and from 1e6 on."""
+    x = x.cast("double")
+    long = F.format_string("%.5e", x)
+    power = F.regexp_extract(long, r"e([+-]\d+)$", 1).cast("int")
+    bare = lambda digits: F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    found = F.concat(bare(F.substring_index(long, "e", 1)), F.lit("e"), F.substring_index(long, "e", -1))
+    for k in range(-4, 6):
+        found = F.when(power == k, bare(F.format_string(f"%.{5 - k}f", x))).otherwise(found)
+    return found
 
 
 def write_edges_text(edges: DataFrame, path: str) -> None:
