@@ -24,10 +24,10 @@ _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 
 class _Words(dict):
-    """Hashes of words, kept until there are a million."""
+    """Hashes of words, kept until there are 262,144."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 5)
         return value

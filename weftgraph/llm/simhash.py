@@ -198,6 +198,8 @@ BANDS, ROWS = 20, 4
 #: Pairs of a band are compared exactly where AGREE of SIGNS least hashes agree in a byte. At a similarity of 0.8 or more
 #: fewer agree with a chance of about one in a million.
 SIGNS, AGREE = 512, 367
+#: Rows with such signs that a task holds at a time, or one larger group.
+WIDE = 1 << 14
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SIGNS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -235,7 +237,7 @@ def _candidates(bands: DataFrame, low: int, high: int) -> DataFrame:
     each under the first band that it shares, that stand `low` to `high` - 1 places apart in the order of (n, id); a row of nulls where pairs may stand further apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, lambda t: [t.column("key").to_numpy()]):
+        for rows in whole_groups(batches, lambda t: [t.column("key").to_numpy()], WIDE):
             signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
             yield from propose(*(rows.column(c).to_numpy() for c in ("key", "n", "id", "component", "band")), signs)
 
@@ -332,7 +334,7 @@ def one_of_each_group(docs: DataFrame, width: int = 3, budget: int = 2, near: bo
     of = unused(docs, "of")
     groups = saved(simhash_groups(docs, width, budget).select("doc_id", "component_id"))
     if near:
-        edges = saved(near_copies(docs).unionByName(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))))
+        edges = near_copies(docs).unionByName(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
         found = saved(components(edges).select(F.col("id").alias("of"), F.col("component_id").alias("least")))
         groups = saved(groups.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", F.coalesce("least", "component_id").alias("component_id")))
     others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(of)).distinct()

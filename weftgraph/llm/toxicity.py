@@ -26,6 +26,8 @@ BASE = -4.0
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Costs in the channel: to write a character otherwise, to put a separator in, to repeat a character, to leave a sign as it is.
 SWAP, SEPARATE, REPEAT, SIGN = 1.0, 0.3, 0.5, 9.0
+#: Restored tokens, and costs of grams, that a task keeps at a time.
+KEPT = 1 << 18
 _TWICE = re.compile(r"(\w)\1")
 _MARK = rf"[^\W_{re.escape(''.join(LEET))}]|[{re.escape(''.join(LEET))}]"
 #: Three or more short tokens, of one or two letters or signs, set apart by one to three blanks or separators.
@@ -82,7 +84,7 @@ class CharacterModel:
             for k in range(len(signs) - 1, -1, -1):
                 g = signs[k:]
                 p = (self.counts.get(g, 0) + 5 * p) / (self.under.get(g[:-1], 0) + 5)
-            if len(self.known) > 1 << 20:
+            if len(self.known) > KEPT:
                 self.known.clear()
             self.known[gram] = value = -math.log(p)
         return value
@@ -125,13 +127,13 @@ def restore(noisy: str, model: CharacterModel) -> str:
 
 
 class Plain(dict):
-    """Tokens between blanks as words of letters, noisy ones restored beside their own letters; kept until there are a million, as are runs of tokens, under a blank and the run."""
+    """Tokens between blanks as words of letters, noisy ones restored beside their own letters; kept until there are KEPT, as are runs of tokens, under a blank and the run."""
 
     def __init__(self, model: CharacterModel):
         self.model = model
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 1 << 20:
+        if len(self) > KEPT:
             self.clear()
         self[token] = word = self.undone(token)
         return word
@@ -155,7 +157,7 @@ class Plain(dict):
             return m[0]
         key = f" {m[0]}"
         if (words := self.get(key)) is None:
-            if len(self) > 1 << 20:
+            if len(self) > KEPT:
                 self.clear()
             self[key] = words = restore(m[0], self.model)
         return f" {words} {m[0]}"
