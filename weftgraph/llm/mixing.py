@@ -99,8 +99,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     plan and the texts aren't shuffled. Rows equal in all three at that very place are taken together.
     """
     own, plans = unused(docs, "mix"), unused(docs, "plan")
-    rows = saved(docs.withColumn(own, F.struct("doc_id", "source", *_drawn(docs, seed, weight))))
-    few = rows.select(f"{own}.*")
+    # The draws are digests, the same when they are made again; so only they are written, not the texts.
+    rows = docs.withColumn(own, F.struct("doc_id", "source", *_drawn(docs, seed, weight)))
+    few = saved(rows.select(f"{own}.*"))
     plan = _budgets(few, weights, share, most)
     at = F.struct("key", "doc_id", "size")
     last = _decided(few, plan).where("more and bin = end_bin").groupBy(F.col("source").alias("s")).agg(F.max(at).alias("last"))
