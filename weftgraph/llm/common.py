@@ -54,7 +54,18 @@ def saved(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes what saved() wrote for tables that nothing reads any more; other tables stay."""
+    for t in tables:
+        if path := t.__dict__.pop("_scratch", None):
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -116,8 +127,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = saved(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # Small star: a node and its smaller neighbours are tied to the least of them.
+        dropped(work, least)
         least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         tied = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         work = saved(tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        dropped(large, least)
     found = work.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     return loops.join(found, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))

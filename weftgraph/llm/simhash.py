@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, ship, unused, whole_groups
+from .common import components, dropped, saved, ship, unused, whole_groups
 
 SEED = 42
 #: Bits of each value of a byte, lowest first.
@@ -294,19 +294,29 @@ def near_copies(docs: DataFrame) -> DataFrame:
     own = saved(rows.join(least, "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     bands = saved(_shared_bands(rows.join(least, "digest").where("doc_id = id").dropDuplicates(["id", "digest"]).select("id", "n", "keys")))
     wanted = bands.select(F.col("id").alias("doc_id")).distinct()
+    dropped(rows, least)
     held = saved(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "id long, hashes array<long>, sign binary"))
     side = lambda id, name: held.select(F.col("id").alias(id), F.col("hashes").alias(name))
-    bands = saved(bands.join(held.select("id", "sign"), "id"))
     links, now, low, high = own, bands.withColumn("component", F.col("id")), 1, 4
     while True:
-        proposed = saved(_candidates(now, low, high))
+        proposed = saved(_candidates(now.join(held.select("id", "sign"), "id"), low, high))
         both = proposed.where("a is not null").join(side("a", "x"), "a").join(side("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        links = saved(links.unionByName(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")))
-        if proposed.where("a is null").isEmpty():
+        earlier, links = links, saved(links.unionByName(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")))
+        over = proposed.where("a is null").isEmpty()
+        dropped(earlier, proposed)
+        if over:
+            dropped(bands, held)
             return links
         tops = saved(components(links).withColumnRenamed("id", "of"))
-        now = bands.join(tops, F.col("id") == F.col("of"), "left").select("key", "n", "id", F.coalesce("component_id", "id").alias("component"), "band", "sign")
+        known = saved(bands.join(tops, F.col("id") == F.col("of"), "left").select("key", "n", "id", F.coalesce("component_id", "id").alias("component"), "band"))
+        # Only keys of more rows than were compared, and of several components, go on.
+        tied = known.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("first"), F.max("component").alias("last"))
+        live = tied.where((F.col("rows") > high) & (F.col("first") < F.col("last"))).select(F.col("key").alias("of"))
+        now = saved(known.join(live, F.col("key") == F.col("of"), "left_semi"))
+        dropped(tops, known, bands)
+        bands = now.drop("component")
+        bands._scratch = now._scratch
         low, high = high, 8 * high
 
 
