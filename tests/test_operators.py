@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,22 @@ def test_segments(data, four):
         assert as_map(seg.broadcast(data, right, op), "pos")[2]["value"] == pytest.approx(first)
 
 
+def test_broadcast_divides_by_zero(spark):
+    data = spark.createDataFrame([(1, 0, 5.0), (1, 1, -5.0), (1, 2, 0.0), (2, 3, 5.0), (3, 4, None), (3, 5, 6.0), (4, 6, 5.0)], "seg long, pos long, value double")
+    right = spark.createDataFrame([(1, 0.0), (2, -0.0), (3, 4.0), (4, None)], "seg long, value double")
+    found = as_map(seg.broadcast(data, right, "div"), "pos")
+    assert [found[k]["value"] for k in (0, 1, 3, 4, 5, 6)] == [math.inf, -math.inf, -math.inf, None, 1.5, None] and math.isnan(found[2]["value"])
+    whole = seg.broadcast(data.withColumn("value", F.lit(3)), right.withColumn("value", F.lit(0)), "div")
+    assert {r["value"] for r in whole.collect()} == {math.inf}
+
+
+def test_rounded_as_sql_rounds(spark):
+    odd = [41 / 640.0, -41 / 640.0, 2.5e-6, 0.49999999999999994e-6, -0.0, 1e305, math.inf, -math.inf, math.nan, None, 9007199254740993.0, 0.1 + 0.2]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, x double").select("i", "x", scalars.rounded(F.col("x"), 6).alias("value"))
+    for r in rows.collect():
+        assert repr(r["value"]) == repr(duckdb.execute("select round(?::double, 6) + 0.0", [r["x"]]).fetchone()[0]), r
+
+
 def test_softmax_gradient_by_differences(data):
     weight = lambda df: sum(r["value"] * (r["pos"] + 1) ** 0.5 for r in df.collect())
     grad = data.select("seg", "pos", F.sqrt(F.col("pos") + 1).alias("value"))

@@ -53,6 +53,15 @@ def activation(name: str, x: Column, slope: float = 0.1) -> Column:
     return found[name]
 
 
+def rounded(x: Column, decimals: int) -> Column:
+    """A double as SQL rounds it: scaled by a power of ten, halves away from zero, scaled back. F.round looks at the shortest decimal
+    digits instead, which rounds some halves the other way."""
+    scaled = x.cast("double") * 10.0**decimals
+    near = F.rint(scaled)
+    whole = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near) / 10.0**decimals
+    return F.when(F.abs(whole) == float("inf"), x.cast("double")).otherwise(whole) + 0.0
+
+
 def standardize(x: Column, mean: Column, std: Column) -> Column:
     return F.try_divide(x - mean, std)
 

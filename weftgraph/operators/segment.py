@@ -19,9 +19,11 @@ def reduce(data: DataFrame, segments: DataFrame, how: str = "sum", keys: tuple[s
 
 
 def broadcast(data: DataFrame, right: DataFrame, op: str) -> DataFrame:
-    """Each value of data with its segment's value of right: add, sub, mul, div (null by 0), to (the segment's value alone)."""
+    """Each value of data with its segment's value of right: add, sub, mul, div (by 0 infinite, 0 by 0 NaN), to (the segment's value alone)."""
     x, y = F.col("value"), F.col("_right")
-    out = {"add": x + y, "sub": x - y, "mul": x * y, "div": F.try_divide(x, y), "to": y}[op]
+    # The power keeps the sign of a zero.
+    divided = F.when(y == 0, x * F.pow(y.cast("double"), F.lit(-1.0))).otherwise(F.try_divide(x, y))
+    out = {"add": x + y, "sub": x - y, "mul": x * y, "div": divided, "to": y}[op]
     return data.join(right.select("seg", F.col("value").alias("_right")), "seg").select("seg", "pos", out.alias("value"))
 
 

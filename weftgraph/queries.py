@@ -390,7 +390,7 @@ for _op, _f in (("add", "v.value + c_acctbal"), ("sub", "v.value - c_acctbal"),
 
     def _cast(spark, d, op=_op):
         right = table(spark, d, "customer").select(F.col("c_custkey").alias("seg"), F.col("c_acctbal").alias("value"))
-        return seg.broadcast(values(spark, d), right, op).select("seg", "pos", F.round("value", 6).alias("value"))
+        return seg.broadcast(values(spark, d), right, op).select("seg", "pos", scalars.rounded(F.col("value"), 6).alias("value"))
 
     query(f"seg_broadcast_{_op}", f"with {_V} select seg, pos, round({_f}, 6) + 0.0 as value from v join customer on c_custkey = seg")(_cast)
 
