@@ -291,6 +291,59 @@ def test_networks(edges, users, items, item_vectors):
         network.Aggregator([], combine="mean")
 
 
+def _exchanges(df, spark):
+    """Exchanges that the plan writes, one that is reused counted once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """Tables on disk, whose joins aren't broadcast: rows, nodes, vectors of 3 components."""
+    spark.createDataFrame([(s, d, v + 1.0) for s in range(4) for d in range(6) for v in range(3) if (s + d + v) % 2], "src long, dst long, value double").write.parquet(f"{tmp_path}/rows")
+    spark.range(5).write.parquet(f"{tmp_path}/nodes")
+    vectors = [(d, [d + 0.5, None if d == 2 else -1.0 * d, float(d * d)]) for d in range(4)] + [(4, [None] * 3), (5, None)]
+    spark.createDataFrame(vectors, "id long, vector array<float>").write.parquet(f"{tmp_path}/vectors")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield [spark.read.parquet(f"{tmp_path}/{x}") for x in ("rows", "nodes", "vectors")]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_edges_are_exchanged_once_for_a_layer(stored, spark):
+    rows, nodes, vectors = stored
+    edges = g.build_graph(rows, "max")
+    # Pairs, both degrees, edges by either end.
+    assert len(_exchanges(g.with_support(edges), spark)) == 5
+    linked = g.with_support(edges).withColumn("link_id", (F.col("value") - 1).cast("int"))
+    # Nodes besides: the pool moves no edges and no vectors.
+    aggregator = network.Aggregator([network.Dense([[1.0, 2.0, 3.0]])] * 3, "stack")
+    assert len(_exchanges(aggregator.apply(linked, vectors, nodes), spark)) == 6
+
+
+@pytest.mark.parametrize(("combine", "units"), [("sum", 2), ("stack", 2), ("sum", 4), ("stack", 4)])
+def test_aggregator_by_hand(stored, combine, units, monkeypatch):
+    rows, nodes, vectors = stored
+    edges = g.build_graph(rows, "max").withColumn("link_id", (F.col("value") - 1).cast("int")).withColumn("support", 1 / (1 + F.col("dst")))
+    dense = [network.Dense([[o - i + k * 0.5 for i in range(3)] for o in range(units)], [o + k + 0.25 for o in range(units)]) for k in range(2)]
+    given = {r["id"]: r["vector"] for r in vectors.collect()}
+    want = {}
+    for node in range(5):
+        parts = [[0.0] * units for _ in dense]
+        for k, m in enumerate(dense):
+            own = [(given[r["dst"]] or [], r["support"]) for r in edges.where(f"src = {node} and link_id = {k}").collect()]
+            if any(c is not None for v, _ in own for c in v):
+                parts[k] = [sum(w * (sum((c or 0) * m.weight[o][i] for i, c in enumerate(v)) + m.bias[o]) for v, w in own) for o in range(units)]
+        want[node] = sum(parts, []) if combine == "stack" else [sum(x) for x in zip(*parts, strict=True)]
+    for most in (network._SENT, 0):
+        monkeypatch.setattr(network, "_SENT", most)
+        found = {r["id"]: r["vector"] for r in network.Aggregator(dense, combine, "identity").apply(edges, vectors, nodes).collect()}
+        assert found == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_training_lowers_the_error(spark):
     rows = spark.range(200).select(F.array(F.lit(1.0), (F.col("id") % 7) / 7.0).alias("a"), F.array((F.col("id") % 5) / 5.0, F.lit(1.0)).alias("b"))
     rows = rows.withColumn("truth", F.get("a", F.lit(1)) * F.get("b", F.lit(0)) * 2 - 0.5)

@@ -28,17 +28,30 @@ def degrees(edges: DataFrame, nodes: DataFrame, side: str = "src") -> DataFrame:
     return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("int").alias("degree"))
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one row each.
+
+    Neither the filters that joins infer nor the choice of columns pass a generator, so every use of these rows has the same plan below, and
+    its exchanges are written once instead of once for each use.
+    """
+    return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
+
+
 def with_support(edges: DataFrame, symmetric: bool = True) -> DataFrame:
     """Edges with the weight sqrt(1 / deg(src) / deg(dst)), or 1 / deg(src).
 
-    Degrees are aggregated before they are joined, so that a hub isn't one window partition.
+    Degrees are aggregated before they are joined, so that a hub isn't one window partition. src is joined last: what is aggregated by src next needs no
+    further exchange.
     """
+    found = edges = shared(edges)
+    if symmetric:
+        cols = edges.groupBy("dst").agg(F.count("*").alias("_c"))
+        found = edges.join(cols, "dst")
     rows = edges.groupBy("src").agg(F.count("*").alias("_r"))
-    found = edges.join(rows, "src")
+    found = found.join(rows, "src")
     if not symmetric:
         return found.withColumn("support", 1.0 / F.col("_r")).drop("_r")
-    cols = edges.groupBy("dst").agg(F.count("*").alias("_c"))
-    return found.join(cols, "dst").withColumn("support", F.sqrt(1.0 / F.col("_r") / F.col("_c"))).drop("_r", "_c")
+    return found.withColumn("support", F.sqrt(1.0 / F.col("_r") / F.col("_c"))).drop("_r", "_c")
 
 
 #: Values that are looked at to cut an order into parts, and how many of them make a part. Parts hold about one in 128 rows of a large table.

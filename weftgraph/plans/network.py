@@ -30,6 +30,14 @@ class Dense:
         return F.array(*rows)
 
 
+#: Vectors of at most about so many bytes, as Spark estimates the plan, are sent to all executors.
+_SENT = 4 << 20
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 @dataclass
 class Aggregator:
     """Links of each type have their own dense map; types combine by `stack` (concatenation) or `sum`.
@@ -57,23 +65,32 @@ class Aggregator:
     def apply(self, edges: DataFrame, vectors: DataFrame, nodes: DataFrame) -> DataFrame:
         """(id, vector) for every node: edges are (src, dst, link_id, support), vectors (id, vector) of dst.
 
-        A map is linear, so it is applied after the pool, once a node and type instead of once an edge; its bias counts with the
-        sum of supports.
+        A map is linear, so where it shortens vectors it is applied before the pool, once a vector and type, and else after it, once a
+        node and type; never once an edge. Its bias counts with the sum of supports. A null component adds nothing.
         """
-        dim = len(self.maps[0].weight[0])
+        dim, units = len(self.maps[0].weight[0]), len(self.maps[0].weight)
+        maps = [self.map_of(link) for link in range(len(self.maps))]
+        first = units < dim
         x = [F.get("vector", F.lit(i)).cast("double") for i in range(dim)]
+        if first:
+            small = _bytes(vectors) * max(1, 2 * len(maps) * units // dim) <= _SENT
+            filled = F.array(*[F.coalesce(c, F.lit(0.0)) for c in x])
+            mapped = F.when(F.coalesce(*x).isNotNull(), F.array(*[Dense(m.weight).of(filled) for m in maps]))
+            vectors = vectors.select("id", mapped.alias("vector"))
+            vectors = F.broadcast(vectors) if small else vectors
+            edges = edges.where(F.col("link_id").between(0, len(maps) - 1))
+            x = [F.get(F.get("vector", F.col("link_id").cast("int")), F.lit(o)) for o in range(units)]
         sums = [F.sum(c * F.col("support")).alias(f"c{i}") for i, c in enumerate(x)]
         pooled = edges.join(vectors.withColumnRenamed("id", "dst"), "dst").groupBy("src", "link_id").agg(F.sum("support").alias("_s"), *sums)
-        pooled = pooled.select("src", "link_id", "_s", F.array(*[f"c{i}" for i in range(dim)]).alias("_x"))
+        pooled = pooled.select("src", "link_id", "_s", F.array(*[f"c{i}" for i in range(len(x))]).alias("_x"))
         parts = []
-        for link in range(len(self.maps)):
-            m = self.map_of(link)
-            out = Dense(m.weight).of(F.col("_x"))
+        for link, m in enumerate(maps):
+            out = F.col("_x") if first else Dense(m.weight).of(F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0))))
             if m.bias:
                 out = F.zip_with(out, F.array(*[F.lit(float(b)) for b in m.bias]), lambda v, b: v + b * F.col("_s"))
-            parts.append(F.max(F.when(F.col("link_id") == link, out)).alias(f"l{link}"))
+            parts.append(F.max(F.when((F.col("link_id") == link) & F.exists("_x", lambda v: v.isNotNull()), out)).alias(f"l{link}"))
         wide = pooled.groupBy("src").agg(*parts)
-        zero = F.array_repeat(F.lit(0.0), len(self.maps[0].weight))
+        zero = F.array_repeat(F.lit(0.0), units)
         full = nodes.select(F.col("id").alias("src")).join(wide, "src", "left")
         each = [F.coalesce(f"l{k}", zero) for k in range(len(self.maps))]
         joined = F.concat(*each) if self.combine == "stack" else each[0]
