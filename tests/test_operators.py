@@ -344,6 +344,18 @@ def test_aggregator_by_hand(stored, combine, units, monkeypatch):
         assert found == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_layer_adds_its_own_map(stored, spark):
+    rows, nodes, vectors = stored
+    edges = g.build_graph(rows, "max").withColumn("link_id", F.lit(0)).withColumn("support", F.lit(0.0))
+    item = network.Aggregator([network.Dense([[1.0, 0.0, 0.0]])], act="identity")
+    own = network.Dense([[1.0, 1.0, 1.0]], [0.5])
+    layer = network.Layer({"item": item}, network.Dense([[2.0]]), own=own, act="identity")
+    # Nodes 2 to 4 have no vector of their own.
+    itself = vectors.where("id < 2").select("id", F.transform("vector", lambda v: v.cast("double")).alias("vector"))
+    applied = layer.apply({"item": edges}, {"item": vectors}, nodes, itself)
+    assert {r["id"]: r["vector"] for r in applied.collect()} == {0: [2.0], 1: [4.0], 2: [0.0], 3: [0.0], 4: [0.0]}
+
+
 def test_training_lowers_the_error(spark):
     rows = spark.range(200).select(F.array(F.lit(1.0), (F.col("id") % 7) / 7.0).alias("a"), F.array((F.col("id") % 5) / 5.0, F.lit(1.0)).alias("b"))
     rows = rows.withColumn("truth", F.get("a", F.lit(1)) * F.get("b", F.lit(0)) * 2 - 0.5)

@@ -121,8 +121,9 @@ class Layer:
             found = found.join(one.withColumnRenamed("vector", f"_{kind}"), "id")
             names.append(F.col(f"_{kind}"))
         if self.own is not None:
-            found = found.join(itself.withColumnRenamed("vector", "_own"), "id", "left")
-            names.append(F.coalesce(self.own.of(F.col("_own")), F.array_repeat(F.lit(0.0), len(self.own.weight))))
+            # Mapped before the join, which then moves the map's outputs instead of whole vectors.
+            found = found.join(itself.select("id", self.own.of(F.col("vector")).alias("_own")), "id", "left")
+            names.append(F.coalesce("_own", F.array_repeat(F.lit(0.0), len(self.own.weight))))
         joined = F.concat(*names) if self.combine == "stack" else names[0]
         if self.combine == "sum":
             for one in names[1:]:
