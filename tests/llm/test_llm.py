@@ -362,6 +362,22 @@ def test_lm_scores(spark):
     assert lm_score.score_documents(df.limit(0)).count() == 0
 
 
+def test_lm_scores_shuffle_few_bytes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{n}" for n in rng.zipf(1.2, 300) % 50_000) for _ in range(600)]
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert lm_score.score_documents(df).agg(F.count("score")).first()[0] == 600
+    # A word of a block costs its letters twice, its place, its score and its count.
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < 1.6 * sum(map(len, texts))
+    for kind in (np.int32, np.int64, np.float64):
+        for n in (0, 1, 1000):
+            a = (rng.random(n) * 1e6 - 5e5).astype(kind)
+            assert (lm_score._unpacked(lm_score._packed(a), kind) == a).all()
+
+
 def test_chat_round_trip(spark):
     control = "</s>[INST] ok [/INST] <|user|> <\\|x|\\> <<SYS>> || [|"
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", " leading é漢😀 and\n\n trailing \n"), (1, 2, "assistant", control), (2, 0, None, None), (2, 0, "a|>b", control), (2, 1, "assistant", ""), (3, None, "assistant", "x" * 30_000), (3, None, "assistant", "x" * 30_000), (None, 1, "user", "lost")]

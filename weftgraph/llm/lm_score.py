@@ -153,6 +153,16 @@ class Lattice:
         return forward[n]
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: the high bytes of small numbers stand together and compress to almost nothing."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _unpacked(planes: bytes, kind: type) -> np.ndarray:
+    octets = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(octets.T).view(kind).ravel()
+
+
 _BLOCK = "kind int, part int, block long, doc_id {kind}, held boolean, words binary, index binary, train binary"
 
 
@@ -180,11 +190,11 @@ def _coded(docs: DataFrame, parts: int) -> DataFrame:
             empty = pa.nulls(len(found), pa.binary())
             schema = schema or pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("doc_id", batch.schema.field(0).type), ("held", pa.bool_()), ("words", pa.binary()), ("index", pa.binary()), ("train", pa.binary())])
             vocabulary = [np.zeros(len(found), np.int32), found.astype(np.int32), np.full(len(found), block), pa.nulls(len(found), schema.field(3).type), pa.nulls(len(found), pa.bool_())]
-            vocabulary += [pa.array([x(s) for s in slices], pa.binary()) for x in (lambda s: b"\n".join([words[k] for k in s]), lambda s: s.astype(np.int32).tobytes(), lambda s: train[s].astype(np.int64).tobytes())] if slices else [empty] * 3
+            vocabulary += [pa.array([x(s) for s in slices], pa.binary()) for x in (lambda s: b"\n".join([words[k] for k in s]), lambda s: _packed(s.astype(np.int32)), lambda s: _packed(train[s].astype(np.int64)))] if slices else [empty] * 3
             for begin in range(0, len(found), 1024):
                 yield pa.record_batch([pa.array(c)[begin : begin + 1024] for c in vocabulary], schema=schema)
             rows = len(ids)
-            yield pa.record_batch([pa.array(np.ones(rows, np.int32)), pa.nulls(rows, pa.int32()), pa.array(np.full(rows, block)), batch.column(0), batch.column(2), pa.nulls(rows, pa.binary()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(rows, pa.binary())], schema=schema)
+            yield pa.record_batch([pa.array(np.ones(rows, np.int32)), pa.nulls(rows, pa.int32()), pa.array(np.full(rows, block)), batch.column(0), batch.column(2), pa.nulls(rows, pa.binary()), pa.array([_packed(x) for x in ids], pa.binary()), pa.nulls(rows, pa.binary())], schema=schema)
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, _BLOCK.format(kind=kind))
 
@@ -197,9 +207,9 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.nd
         blocks, seen, counts = [], [], []
         for _, r in group:
             own = np.array([places.setdefault(w, len(places)) for w in r["words"].split(b"\n")], np.int64)
-            blocks.append((r["block"], r["index"], own))
+            blocks.append((r.get("block"), r.get("index"), own))
             seen.append(own)
-            counts.append(np.frombuffer(r["train"], np.int64))
+            counts.append(_unpacked(r["train"], np.int64))
         total = np.bincount(np.concatenate(seen), np.concatenate(counts), len(places)).astype(np.int64)
         yield [w.decode("utf-8", "surrogatepass") for w in places], total, blocks
 
@@ -229,7 +239,9 @@ def score_documents(docs: DataFrame, held: Column | None = None, path: str = VOC
         yield pa.record_batch([pa.array([int(n)]) for n in seen], names=["tokens", "types", "once", "twice"])
 
     learned = coded.where("kind = 1 and not held").count()
-    sums = by_part.mapInArrow(tally, "tokens long, types long, once long, twice long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice")]).first()
+    # Places stay behind here: this exchange stands beside that of the scores until the query ends.
+    only = coded.where("kind = 0").select("part", "words", "train").repartition(tasks, "part").sortWithinPartitions("part")
+    sums = only.mapInArrow(tally, "tokens long, types long, once long, twice long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice")]).first()
     tokens, types, once, twice = sums["tokens"] + learned, sums["types"] + bool(learned), sums["once"], sums["twice"]
     discount = once / (once + 2 * twice) if once and twice else 0.75
     fitted = spark.sparkContext.broadcast(vocabulary(path))
@@ -241,13 +253,12 @@ def score_documents(docs: DataFrame, held: Column | None = None, path: str = VOC
             if tokens:
                 with np.errstate(divide="ignore"):
                     logs = np.logaddexp(np.log(np.maximum(0, counts - discount) / tokens), np.log(discount * types / tokens) + logs)
-            values = np.stack([logs, np.log10(counts + 1.0), counts > 0], 1)
             for k in range(0, len(blocks), 256):
                 some = blocks[k : k + 256]
-                yield pa.record_batch([pa.array([b for b, _, _ in some], pa.int64()), pa.array([i for _, i, _ in some], pa.binary()), pa.array([values[own].tobytes() for _, _, own in some], pa.binary())], names=["block", "index", "values"])
+                yield pa.record_batch([pa.array([b for b, _, _ in some], pa.int64()), pa.array([i for _, i, _ in some], pa.binary()), pa.array([_packed(logs[own]) for _, _, own in some], pa.binary()), pa.array([_packed(counts[own]) for _, _, own in some], pa.binary())], names=["block", "index", "logs", "train"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = by_part.mapInArrow(score, "block long, index binary, values binary").withColumn("kind", F.lit(0))
+    scored = by_part.mapInArrow(score, "block long, index binary, logs binary, train binary").withColumn("kind", F.lit(0))
     both = scored.unionByName(coded.where("kind = 1").select("kind", "block", "doc_id", "held", "index"), allowMissingColumns=True)
     end = (math.log(learned / tokens) if learned else 0.0, math.log10(learned + 1), math.log10(tokens + types + 1), int(learned > 0))
 
@@ -256,14 +267,15 @@ def score_documents(docs: DataFrame, held: Column | None = None, path: str = VOC
         for batch in batches:
             found: list[tuple] = []
             keep = []
-            for k, (kind, of, index, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "index", "values")), strict=True)):
+            for k, (kind, of, index, logs, train) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "index", "logs", "train")), strict=True)):
                 if of != block:
                     block, values = of, np.zeros((0, 3))
-                places = np.frombuffer(index, np.int32)
+                places = _unpacked(index, np.int32)
                 if kind == 0:
                     if len(places) and places.max() >= len(values):
                         values = np.concatenate([values, np.zeros((max(int(places.max()) + 1 - len(values), len(values)), 3))])
-                    values[places] = np.frombuffer(own, np.float64).reshape(-1, 3)
+                    counts = _unpacked(train, np.int64)
+                    values[places] = np.stack([_unpacked(logs, np.float64), np.log10(counts + 1.0), counts > 0], 1)
                 else:
                     log, base, known = values[places].sum(0).tolist() if len(places) else (0.0, 0.0, 0.0)
                     n = len(places) + 1
