@@ -30,12 +30,15 @@ class Dense:
         return F.array(*rows)
 
 
-#: Vectors of at most about so many bytes, as Spark estimates the plan, are sent to all executors.
-_SENT = 4 << 20
+#: Mapped vectors of at most so many bytes are sent to all executors.
+_SENT = 8 << 20
 
 
-def _bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _small(vectors: DataFrame, numbers: int) -> bool:
+    """Whether vectors of so many numbers take at most _SENT bytes. They are counted, no further than needed, only where Spark estimates little to read."""
+    most = _SENT // (8 * numbers)
+    read = int(str(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return read <= _SENT and vectors.select("id").limit(most + 1).count() <= most
 
 
 @dataclass
@@ -73,7 +76,7 @@ class Aggregator:
         first = units < dim
         x = [F.get("vector", F.lit(i)).cast("double") for i in range(dim)]
         if first:
-            small = _bytes(vectors) * max(1, 2 * len(maps) * units // dim) <= _SENT
+            small = _small(vectors, len(maps) * units)
             filled = F.array(*[F.coalesce(c, F.lit(0.0)) for c in x])
             mapped = F.when(F.coalesce(*x).isNotNull(), F.array(*[Dense(m.weight).of(filled) for m in maps]))
             vectors = vectors.select("id", mapped.alias("vector"))
