@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,22 @@ def test_trie_links_finds_every_pair():
     assert found == true
 
 
+def test_saved_tables_start_no_more_processes_than_needed(spark):
+    table = common.saved(spark.range(900).repartition(30), 900)
+    files = list(Path(table._scratch.removeprefix("file:")).iterdir())
+    parts = [f for f in files if f.name.startswith("part-")]
+    assert not [f for f in files if f.suffix == ".crc"] and len(parts) <= spark.sparkContext.defaultParallelism
+    assert sorted(r[0] for r in table.collect()) == list(range(900))
+    assert common.saved(spark.range(common.FILE * 9).repartition(30), 1).count() == common.FILE * 9  # a bound that is too low drops nothing
+    # Damage is still found.
+    damaged = max(parts, key=lambda f: f.stat().st_size)
+    content = bytearray(damaged.read_bytes())
+    content[len(content) // 4] ^= 1
+    damaged.write_bytes(content)
+    with pytest.raises(Exception, match="CRC checksum"):
+        table.agg({"id": "sum"}).collect()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (500, 500), (159, 60)]
     out = dict(rows(common.components(spark.createDataFrame(edges, "a long, b long"))))

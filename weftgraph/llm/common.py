@@ -50,11 +50,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+#: For file: paths, which other file systems ignore. Where Hadoop's native code is missing, it starts a chmod process for each local folder, file and sum of checks that
+#: it makes; until such a process runs its own program it counts as a second executor. So scratch files have no sums beside them; Parquet's own page checksums are verified.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Rows of a file where a bound on a table's rows is known, and there are more files than cores.
+FILE = 1 << 14
+
+
+def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once.
+
+    rows: about as many as the table has at most; small tables then come in few files, whatever the number of partitions. All rows are written, whether or not there are more.
+    """
+    path, spark = scratch(df.sparkSession), df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2, spark.sparkContext.defaultParallelism, -(-rows // FILE)))
+    # A session's own choice of a file system stays.
+    plain = _PLAIN if spark.sparkContext._jsc.hadoopConfiguration().get("fs.file.impl") is None else {}
+    df.write.options(**plain, **{"parquet.page.write-checksum.enabled": "true"}).parquet(path)
+    found = spark.read.schema(df.schema).option("parquet.page.verify-checksum.enabled", "true").parquet(path)
     found._scratch = path
     return found
 
@@ -117,20 +131,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large and small stars until only stars are left, in a number of rounds that grows with the logarithm of a
     component's size. A hub's minimum is pre-aggregated and saved before it is joined, so that the join
-    reads plain exchanges, whose hot keys adaptive execution splits. Self-loops keep lone ids.
+    reads plain exchanges, whose hot keys adaptive execution splits. No round has more edges than the first. Self-loops keep lone ids.
     """
     loops = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     work = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = work.count()
     while not _stars(work):
         # Large star: every larger neighbour of a node is tied to the least of the node and its neighbours.
         both = work.select("a", "b").unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = saved(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), n)
+        large = saved(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), n)
         # Small star: a node and its smaller neighbours are tied to the least of them.
         dropped(work, least)
-        least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")), n)
         tied = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        work = saved(tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        work = saved(tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), n)
         dropped(large, least)
     found = work.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     return loops.join(found, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))

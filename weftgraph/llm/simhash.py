@@ -298,22 +298,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
     held = saved(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "id long, hashes array<long>, sign binary"))
     side = lambda id, name: held.select(F.col("id").alias(id), F.col("hashes").alias(name))
     links, now, low, high = own, bands.withColumn("component", F.col("id")), 1, 4
+    size, most = bands.count(), own.count()
     while True:
-        proposed = saved(_candidates(now.join(held.select("id", "sign"), "id"), low, high))
+        proposed = saved(_candidates(now.join(held.select("id", "sign"), "id"), low, high), (high - low) * size)
         both = proposed.where("a is not null").join(side("a", "x"), "a").join(side("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        earlier, links = links, saved(links.unionByName(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")))
+        most += proposed.count()
+        earlier, links = links, saved(links.unionByName(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")), most)
         over = proposed.where("a is null").isEmpty()
         dropped(earlier, proposed)
         if over:
             dropped(bands, held)
             return links
-        tops = saved(components(links).withColumnRenamed("id", "of"))
-        known = saved(bands.join(tops, F.col("id") == F.col("of"), "left").select("key", "n", "id", F.coalesce("component_id", "id").alias("component"), "band"))
+        tops = saved(components(links).withColumnRenamed("id", "of"), 2 * most)
+        known = saved(bands.join(tops, F.col("id") == F.col("of"), "left").select("key", "n", "id", F.coalesce("component_id", "id").alias("component"), "band"), size)
         # Only keys of more rows than were compared, and of several components, go on.
         tied = known.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("first"), F.max("component").alias("last"))
         live = tied.where((F.col("rows") > high) & (F.col("first") < F.col("last"))).select(F.col("key").alias("of"))
-        now = saved(known.join(live, F.col("key") == F.col("of"), "left_semi"))
+        now = saved(known.join(live, F.col("key") == F.col("of"), "left_semi"), size)
         dropped(tops, known, bands)
         bands = now.drop("component")
         bands._scratch = now._scratch
