@@ -60,7 +60,8 @@ FILE = 1 << 14
 def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once.
 
-    rows: about as many as the table has at most; small tables then come in few files, whatever the number of partitions. All rows are written, whether or not there are more.
+    rows: about as many as the table has at most, where what it is made from is about as small; small tables then come in few files, made by as few tasks, whatever the number of partitions.
+    All rows are written, whether or not there are more.
     """
     path, spark = scratch(df.sparkSession), df.sparkSession
     if rows is not None:

@@ -304,7 +304,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         both = proposed.where("a is not null").join(side("a", "x"), "a").join(side("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         most += proposed.count()
-        earlier, links = links, saved(links.unionByName(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")), most)
+        # No bound here: few pairs may read many hashes, which few tasks shouldn't do.
+        earlier, links = links, saved(links.unionByName(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")))
         over = proposed.where("a is null").isEmpty()
         dropped(earlier, proposed)
         if over:
